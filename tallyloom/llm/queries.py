@@ -2,22 +2,60 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import documents
-from .simhash import simhash_components
+from . import bytepair, flac, langid, packing, quality, secrets, simhash, tokencount, tokenstore
+from .runtime import documents, shared_dir
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_components(documents(spark, sf_dir, "doc_id", "text"))
+    found = simhash.simhash_components(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepair.encoding_digests(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenstore.write_tokens(documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokenstore.token_offsets(spark, path)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir, "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digests(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash,
+    f.__name__: f
+    for f in (op1_simhash, op3_quality_rules, op4_byte_bpe, op5_token_store, op6_language_id, op7_packing, op8_flac, op9_token_counts, op10_secrets)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -180,9 +180,9 @@ def drop_near_copies(docs: DataFrame, width: int = 5, distance: int = 4, seed: i
     """docs with one document of each component: that of its smallest doc_id. Rows without a doc_id stay."""
     found = simhash_components(docs, width, distance, seed, extra)
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    rest = docs.join(gone, "doc_id", "left_anti")
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return rest
     once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return rest.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
