@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, flac, langid, packing, quality, secrets, simhash, tokencount, tokenstore
+from . import bytepair, flac, langid, packing, quality, secrets, simhash, substring, tokencount, tokenstore
 from .runtime import documents, shared_dir
 
 
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_digests(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -55,7 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op3_quality_rules, op4_byte_bpe, op5_token_store, op6_language_id, op7_packing, op8_flac, op9_token_counts, op10_secrets)
+    for f in (op1_simhash, op2_substring, op3_quality_rules, op4_byte_bpe, op5_token_store, op6_language_id, op7_packing, op8_flac, op9_token_counts, op10_secrets)
 }
 
 ORACLE_SQL: dict[str, str] = {}
