@@ -53,14 +53,15 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, round
     """Patterns (one a column) and how often the linear program uses each, by the revised simplex method."""
     m = len(sizes)
     patterns = np.diag(capacity // sizes).astype(np.int64)
+    inverse = np.diag(1.0 / (capacity // sizes))
     place = {s: i for i, s in enumerate(sizes.tolist())}
     for i, s in enumerate(sizes.tolist()):  # the rarer of two sizes that fill a sequence starts as a pair with the other
         j = place.get(capacity - s, i)
         if j != i and (demand[i], i) < (demand[j], j):
             patterns[i, i], patterns[j, i] = 1, 1
-    inverse = np.linalg.inv(patterns.astype(np.float64)) if m else np.zeros((0, 0))
-    use = np.maximum(inverse @ demand, 0.0)
-    enough = (1 + CLOSE) * (demand @ sizes) / capacity
+            inverse[i, i], inverse[j, i] = 1.0, -inverse[j, j]
+    use = (inverse * demand).sum(axis=1)
+    enough = (1 + CLOSE) * (demand * sizes).sum() / capacity
     for _ in range(rounds):
         if use.sum() <= enough:
             break
@@ -68,7 +69,7 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, round
         worth, column = best_pattern(sizes, prices, capacity)
         if worth <= 1 + 1e-7:
             break
-        step = inverse @ column
+        step = (inverse * column).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, use / step, np.inf)
         out = int(ratio.argmin())
@@ -78,7 +79,7 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, round
         use[out] = ratio[out]
         patterns[:, out] = column
         row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
+        inverse -= step[:, None] * row
         inverse[out] = row
     return patterns, np.maximum(use, 0.0) if m else use
 
