@@ -1,0 +1,85 @@
+"""Grids of simulated studies: one task draws and fits each replicate, points are summed up natively."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def replicate_rng(seed: int, *key) -> np.random.Generator:
+    """A generator that depends on values alone, not on order or partition."""
+    digest = hashlib.sha256(repr((seed, *key)).encode()).digest()
+    return np.random.default_rng(int.from_bytes(digest[:16], "big"))
+
+
+def compound_root(n: int, rho: float) -> np.ndarray:
+    """Symmetric root of the matrix of ones on the diagonal and rho elsewhere, by its two eigenvalues; valid at rho = 1."""
+    if not -1 / max(1, n - 1) <= rho <= 1:
+        raise ValueError("no such correlation")
+    small, large = np.sqrt(max(0.0, 1 - rho)), np.sqrt(max(0.0, 1 + (n - 1) * rho))
+    return small * np.eye(n) + (large - small) / n * np.ones((n, n))
+
+
+def draw(rng: np.random.Generator, seeds: int, items: int, eta: np.ndarray, sigma: float, rho: float, item_sd: float) -> pd.DataFrame:
+    """One study: seed effects by coverage with compound symmetry, item effects, and outcomes; eta is task by coverage."""
+    tasks, levels = eta.shape
+    effects = sigma * rng.standard_normal((seeds, levels)) @ compound_root(levels, rho)
+    item = item_sd * rng.standard_normal((tasks, levels, items))
+    logit = eta[None, :, :, None] + effects[:, None, :, None] + item[None]
+    hit = rng.random(logit.shape) < 1 / (1 + np.exp(-logit))
+    index = np.indices(logit.shape).reshape(4, -1)
+    return pd.DataFrame({"seed": index[0], "task": index[1], "coverage": index[2], "item": index[3], "is_rule": hit.ravel().astype(int)})
+
+
+def additive_fit(frame: pd.DataFrame, ridge: float = 1e-6) -> dict:
+    """A stand-in fitter with fixed effects only: likelihood ratio of the task by coverage interaction in a logistic model."""
+
+    def deviance(x, n, k):
+        b = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+            w = n * p * (1 - p)
+            step = np.linalg.solve(x.T @ (w[:, None] * x) + ridge * np.eye(len(b)), x.T @ (k - n * p) - ridge * b)
+            b = b + step
+            if np.abs(step).max() < 1e-9:
+                break
+        eta = x @ b
+        return -2 * float((k * eta - n * np.logaddexp(0, eta)).sum())
+
+    cells = frame.groupby(["task", "coverage"]).is_rule.agg(["size", "sum"]).reset_index()
+    t, c = (pd.get_dummies(cells[x], drop_first=True).to_numpy(float) for x in ("task", "coverage"))
+    main = np.hstack([np.ones((len(cells), 1)), t, c])
+    full = np.hstack([main, (t[:, :, None] * c[:, None, :]).reshape(len(cells), -1)])
+    n, k = cells["size"].to_numpy(float), cells["sum"].to_numpy(float)
+    chi, df = deviance(main, n, k) - deviance(full, n, k), full.shape[1] - main.shape[1]
+    return {"chisq": max(0.0, chi), "df": df, "fit_failed": False}
+
+
+def run_grid(spark: SparkSession, points: DataFrame, reps: int, eta: Sequence[Sequence[float]], seed: int, fitter: Callable[[pd.DataFrame], dict] = additive_fit, done: DataFrame | None = None) -> DataFrame:
+    """chisq, df and fit_failed of every replicate of points(point, seeds, items, sigma, rho, item_sd); those in done(point, rep) are not run again."""
+    jobs = points.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    if done is not None:
+        jobs = jobs.join(done.select("point", "rep"), ["point", "rep"], "left_anti")
+    table = np.array(eta, float)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                fit = fitter(draw(replicate_rng(seed, r.point, r.rep), r.seeds, r.items, table, r.sigma, r.rho, r.item_sd))
+                out.append((r.point, r.rep, fit["chisq"], fit["df"], fit["fit_failed"]))
+            yield pd.DataFrame(out, columns=["point", "rep", "chisq", "df", "fit_failed"])
+
+    jobs = jobs.select("point", "rep", "seeds", "items", "sigma", "rho", "item_sd").repartition("point", "rep")
+    return jobs.mapInPandas(run, "point string, rep int, chisq double, df int, fit_failed boolean")
+
+
+def summarise_points(results: DataFrame, critical: float) -> DataFrame:
+    """Replicates, failures and the share of rejections; a failed fit counts as no rejection and stays in the denominator."""
+    reject = F.coalesce(~F.col("fit_failed") & (F.col("chisq") > critical), F.lit(False))
+    return results.groupBy("point").agg(F.count("*").alias("n"), F.count_if(F.col("fit_failed")).alias("failed"), F.count_if(reject).alias("rejected"), (F.count_if(reject) / F.count("*")).alias("power"))

@@ -1,0 +1,14 @@
+"""An extension: rates over predictions that arrive as a stream."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+
+from tallyloom.operators.scoring import rates
+
+
+def streaming_rates(predictions: DataFrame, keys: Sequence[str], label: str = "classification") -> DataFrame:
+    """Rates of all predictions so far, for complete or update output; keys are few, so the state is small."""
+    return rates(predictions, keys, label)
