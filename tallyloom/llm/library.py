@@ -7,11 +7,15 @@ import os
 import re
 
 import numpy as np
+import regex
 
-from .textio import CHUNK, WORD, blocks
+from .textio import CHUNK, WORD, Memo, blocks
+from .tokencount import byte_names
 
 #: Distinct pieces whose ids a worker remembers, in each of two generations.
-PIECES = 150_000
+PIECES = 400_000
+#: Pieces whose normal form, pre-tokens and byte names follow without the library: ASCII and the composed letters of Latin-1.
+SIMPLE = re.compile(r" ?[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 class LibraryCoder:
@@ -30,12 +34,29 @@ class LibraryCoder:
             raise ValueError(f"{path} needs whole texts")
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         if spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["normalizer"]:
-            self.pattern = CHUNK
+            self.pattern, self.inner, self.lower = CHUNK, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False
+            plain = spec["pre_tokenizer"]["use_regex"]
         elif spec["pre_tokenizer"]["type"] == "Sequence" and spec["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed":
-            self.pattern = WORD  # white space is dropped
+            self.pattern, self.inner, self.lower = WORD, spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], True  # white space is dropped
+            plain = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         else:
             raise ValueError(f"{path} has a pre-tokenizer of another kind")
         self.tokenizer = Tokenizer.from_file(path)
+        model, shown = self.tokenizer.model, {b: c for c, b in byte_names().items()}
+        self.simple = SIMPLE if plain else re.compile(r"(?!)")
+        self.split = regex.compile(self.inner).findall
+        self.names = {chr(c): "".join(map(shown.__getitem__, chr(c).encode("utf-8"))) for c in (32, *range(33, 127), *range(0xC0, 0x100))}
+        self.table = str.maketrans(self.names)
+        tokenize, table, space = model.tokenize, self.table, self.names[" "]
+
+        def ids(piece: str) -> bytes:
+            if not piece.isascii():
+                piece = piece.translate(table)
+            elif piece[0] == " ":
+                piece = space + piece[1:]
+            return b"".join([t.id.to_bytes(4, "little") for t in tokenize(piece)])
+
+        self.tokens = Memo(ids, PIECES // 2)
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -47,7 +68,14 @@ class LibraryCoder:
         known = {c: v for c in new if (v := self.old.get(c)) is not None}
         self.now |= known
         new = [c for c in new if c not in known]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        simple, split, tokens, rest = self.simple.fullmatch, self.split, self.tokens, []
+        for c in new:
+            if simple(c):  # the library's model alone, on the pre-tokens
+                c2 = c.lower() if self.lower else c
+                self.now[c] = tokens[c2] if c2.lstrip(" ").isalpha() else b"".join(map(tokens.__getitem__, split(c2)))
+            else:
+                rest.append(c)
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.now[c] = np.array(e.ids, "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
