@@ -56,36 +56,17 @@ class LibraryCoder:
                 piece = space + piece[1:]
             return b"".join([t.id.to_bytes(4, "little") for t in tokenize(piece)])
 
-        self.tokens = Memo(ids, PIECES // 2)
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, some: list[str]) -> None:
-        new = [c for c in dict.fromkeys(some) if c not in self.now]
-        if len(self.now) + len(new) > PIECES and self.now:
-            self.now, self.old = {}, self.now
-            new = list(dict.fromkeys(some))
-        known = {c: v for c in new if (v := self.old.get(c)) is not None}
-        self.now |= known
-        new = [c for c in new if c not in known]
-        simple, split, tokens, rest = self.simple.fullmatch, self.split, self.tokens, []
-        for c in new:
-            if simple(c):  # the library's model alone, on the pre-tokens
-                c2 = c.lower() if self.lower else c
-                self.now[c] = tokens[c2] if c2.lstrip(" ").isalpha() else b"".join(map(tokens.__getitem__, split(c2)))
-            else:
-                rest.append(c)
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.now[c] = np.array(e.ids, "<u4").tobytes()
+        self.tokens = Memo(ids, PIECES // 2 + PIECES // 4)
+        self.pieces = Memo(self._piece, PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        if self.simple.fullmatch(piece):  # the library's model alone, on the pre-tokens
+            piece = piece.lower() if self.lower else piece
+            return self.tokens[piece] if piece.lstrip(" ").isalpha() else b"".join(map(self.tokens.__getitem__, self.split(piece)))
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
-        out = []
-        for some in blocks(self.pattern, text):
-            try:
-                out.append(b"".join(map(self.now.__getitem__, some)))
-            except KeyError:
-                self._learn(some)
-                out.append(b"".join(map(self.now.__getitem__, some)))
+        out = [b"".join(map(self.pieces.__getitem__, some)) for some in blocks(self.pattern, text)]
         return out[0] if len(out) == 1 else b"".join(out)
 
     def ids(self, text: str) -> bytes:
