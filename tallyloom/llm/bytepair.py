@@ -17,6 +17,10 @@ from .runtime import ids_and_text
 from .textio import CHUNK, Memo, blocks
 
 
+#: Distinct pieces that a worker remembers, in each of two generations.
+PIECES = 400_000
+
+
 class PerfectHash:
     """Minimal perfect hash of byte strings: levels of bit sets, a key's number is the count of bits before its own.
 
@@ -97,7 +101,7 @@ class ByteCoder:
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.by_name = {str(i): b for i, b in self.bytes_of.items()}
-        self.names = Memo(lambda chunk: "".join(f" {i}" for i in self.encode_piecewise(chunk)))
+        self.names = Memo(lambda chunk: "".join(f" {i}" for i in self.encode_piecewise(chunk)), PIECES)
 
     def piece(self, data: bytes) -> list[int]:
         if (whole := self.hash.find(data)) is not None:

@@ -44,7 +44,7 @@ class PrefixCounter:
         self.pattern = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.white = re.compile(f"[{WHITE}]")
         self.fits = Memo(lambda pair: merge(pair[0] + pair[1], self.ranks) == list(pair), 100_000)
-        self.total = Memo(lambda chunk: sum(self.prefixes(p.encode("utf-8"))[-1] for p in self.pattern.findall(chunk)))
+        self.total = Memo(lambda chunk: sum(self.prefixes(p.encode("utf-8"))[-1] for p in self.pattern.findall(chunk)), 400_000)
 
     def prefixes(self, data: bytes) -> list[int]:
         """Token counts of data[:0], data[:1] ... data, each taken as one pre-token.
