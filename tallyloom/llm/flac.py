@@ -23,6 +23,8 @@ FRAME, PARTITION_ORDER, RATE = 4096, 3, 8000
 UNIT = 64
 #: Samples that are coded at a time.
 TOGETHER = 1 << 19
+#: Coded bytes that are read at a time; steps are shared by all frames.
+READ_TOGETHER = 1 << 20
 LARGEST_K = 14
 
 
@@ -267,7 +269,7 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
     if (crc != (data[start + size - 2].astype(np.uint16) << 8 | data[start + size - 1])).any():
         raise ValueError("frame CRC-16 does not match")
     bits = np.unpackbits(data)
-    ones = np.flatnonzero(bits)
+    ones = np.flatnonzero(bits).astype(np.int32)
     out: list[np.ndarray | None] = [None] * len(frames)
     waiting = []
     for f, frame in enumerate(frames):
@@ -293,7 +295,7 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
         else:
             raise ValueError("reserved subframe type")
     if waiting:
-        residuals = _read_rice(bits, ones, waiting)
+        residuals = _read_rice(data, bits, ones, waiting)
         for (f, n, order, warm, coefficients, shift, *_), r in zip(waiting, residuals):
             out[f] = _predict(warm, r, order, coefficients, shift)
     return out
@@ -310,73 +312,54 @@ def _signed(v: int, width: int) -> int:
     return v - (1 << width) if v >> (width - 1) else v
 
 
-def _take_each(bits: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
-    v = np.zeros(len(at), np.int64)
-    for k in range(int(width.max()) if len(width) else 0):
-        v = np.where(k < width, v << 1 | bits[np.minimum(at + k, len(bits) - 1)], v)
-    return v
-
-
-def _read_rice(bits: np.ndarray, ones: np.ndarray, waiting: list[tuple]) -> list[np.ndarray]:
-    """Residuals of frames: one code of every frame is read in each step."""
-    n = np.array([w[1] for w in waiting])
-    order = np.array([w[2] for w in waiting])
-    wide = np.array([w[6] for w in waiting])
-    per = n >> np.array([w[7] for w in waiting])
-    at = np.array([w[8] for w in waiting], np.int64)
-    by_size = np.argsort(-(n - order), kind="stable")
-    count = (n - order)[by_size]
+def _read_rice(data: np.ndarray, bits: np.ndarray, ones: np.ndarray, waiting: list[tuple]) -> list[np.ndarray]:
+    """Residuals of frames, partition by partition: each step finds the end of one unary part in every frame; values follow at once."""
+    n, order, wide, level, at = (np.array([w[i] for w in waiting], np.int64) for i in (1, 2, 6, 7, 8))
+    per, out = n >> level, [np.zeros(int(c), np.int64) for c in n - order]
     next_one = np.full(len(bits) + 1, len(bits), np.int32)
     next_one[ones] = ones
     next_one = np.minimum.accumulate(next_one[::-1])[::-1]
-    top = int(count[0])
-    codes = np.zeros((top, len(waiting)), np.int32)
-    k, raw = np.zeros(len(waiting), np.int64), np.zeros(len(waiting), np.int64)
-    order, wide, per, at = order[by_size], wide[by_size], per[by_size], at[by_size]
-    left = per - order  # codes before the next partition header
-    fresh = np.ones(len(waiting), bool)
-    padded = np.concatenate((bits, np.zeros(32, np.uint8)))
-    weights = np.zeros(len(padded), np.int64)  # 24 bits from each position
-    for j in range(24):
-        weights[: len(bits)] = weights[: len(bits)] << 1 | padded[j : j + len(bits)]
-    steps = -np.searchsorted(-count, -np.arange(1, top + 1), side="right")
-    active_counts = np.searchsorted(-count, -np.arange(1, top + 1) + 0.5)
-    del steps
-    for i in range(top):
-        a = int(active_counts[i])
-        new = fresh[:a].nonzero()[0]
-        while len(new):
-            w = wide[new]
-            k[new] = weights[at[new]] >> (24 - w)
-            at[new] += w
-            escaped = new[k[new] == (1 << w) - 1]
-            raw[new] = -1
-            if len(escaped):
-                raw[escaped] = weights[at[escaped]] >> 19
-                at[escaped] += 5
-            fresh[new] = False
-            new = new[left[new] == 0]  # an empty first partition
-            left[new] = per[new]
-        p = at[:a]
-        stop = next_one[p]
-        kk = k[:a]
-        value = (stop - p) << kk | weights[stop + 1] >> (24 - kk)
+    padded = np.concatenate((data, np.zeros(5, np.uint8)))
+    words = np.zeros(len(data) + 1, np.int64)  # 40 bits from each byte
+    for j in range(5):
+        words = words << 8 | padded[j : j + len(words)]
+
+    def field(position: np.ndarray, width: np.ndarray) -> np.ndarray:
+        return words[position >> 3] >> (40 - (position & 7) - width) & ((1 << width) - 1)
+
+    filled = np.zeros(len(waiting), np.int64)
+    for q in range(1 << int(level.max())):
+        has = (q < 1 << level).nonzero()[0]
+        count = per[has] - (order[has] if q == 0 else 0)
+        k = field(at[has], wide[has])
+        at[has] += wide[has]
+        for f, c in zip(has[k == (1 << wide[has]) - 1].tolist(), count[k == (1 << wide[has]) - 1].tolist()):  # an escaped partition
+            width = int(field(at[f : f + 1], np.array([5]))[0])
+            v = field(at[f] + 5 + width * np.arange(c), np.full(c, width))
+            out[f][filled[f] : filled[f] + c] = v - ((v >> max(width - 1, 0) & 1) << width) if width else 0
+            at[f] += 5 + width * c
+            filled[f] += c
+        coded = (k < (1 << wide[has]) - 1) & (count > 0)
+        has, count, k = has[coded], count[coded], k[coded]
+        if not len(has):
+            continue
+        longest = np.argsort(-count, kind="stable")
+        has, count, k = has[longest], count[longest], k[longest]
+        top, skip, p = int(count[0]), k + 1, at[has]
+        stops, begins = np.zeros((top, len(has)), np.int64), np.zeros((top, len(has)), np.int64)
+        active = np.searchsorted(-count, -np.arange(top), side="left").tolist()
+        for i, a in enumerate(active):
+            begins[i, :a] = p[:a]
+            stop = next_one[p[:a]]
+            stops[i, :a] = stop
+            np.add(stop, skip[:a], out=p[:a])
+        at[has] = p
+        value = (stops - begins) << k | field(np.minimum(stops + 1, len(bits)), k)
         value = (value >> 1) ^ -(value & 1)
-        moved = stop + 1 + kk
-        esc = (raw[:a] >= 0).nonzero()[0]
-        if len(esc):
-            width = raw[esc]
-            v = _take_each(bits, p[esc], width)
-            value[esc] = np.where((width > 0) & (v >> np.maximum(width - 1, 0) == 1), v - (1 << width), v)
-            moved[esc] = p[esc] + width
-        codes[i, :a] = value
-        at[:a] = moved
-        left[:a] -= 1
-        done = left[:a] == 0
-        fresh[:a] = done
-        left[:a] = np.where(done, per[:a], left[:a])
-    back = np.argsort(by_size)
-    return [codes[: int(c), j] for j, c in zip(back.tolist(), (count[back]).tolist())]
+        for j, (f, c) in enumerate(zip(has.tolist(), count.tolist())):
+            out[f][filled[f] : filled[f] + c] = value[:c, j]
+        filled[has] += count
+    return out
 
 
 def _predict(warm: np.ndarray, residual: np.ndarray, order: int, coefficients: list[int] | None, shift: int) -> np.ndarray:
@@ -411,7 +394,7 @@ def decode(files: list[bytes]) -> list[bytes]:
             owner.append(k)
             held.append(r.data[a:b])
             size += b - a
-            if size >= TOGETHER:
+            if size >= READ_TOGETHER:
                 flush()
                 size = 0
     flush()
