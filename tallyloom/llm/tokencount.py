@@ -39,23 +39,27 @@ class PrefixCounter:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.ranks = {plain(a) + plain(b): n for n, (a, b) in enumerate(pairs)}
         self.tokens = {bytes([b]) for b in range(256)} | set(self.ranks)
-        self.longest = max(map(len, self.tokens))
+        self.reach: dict[bytes, int] = {}  # length of the longest token with the same last three bytes
+        for t in self.tokens:
+            self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.pattern = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.white = re.compile(f"[{WHITE}]")
         self.fits = Memo(lambda pair: merge(pair[0] + pair[1], self.ranks) == list(pair), 100_000)
-        self.total = Memo(lambda chunk: sum(self.prefixes(p.encode("utf-8"))[-1] for p in self.pattern.findall(chunk)), 400_000)
+        self.piece = Memo(lambda p: self.prefixes(p.encode("utf-8"))[-1], 400_000)
+        split = self.pattern.findall
+        self.total = Memo(lambda chunk: sum(map(self.piece.__getitem__, split(chunk))), 400_000)
 
     def prefixes(self, data: bytes) -> list[int]:
         """Token counts of data[:0], data[:1] ... data, each taken as one pre-token.
 
         The last token of a prefix is the one that stays apart from the last token of what comes before it.
         """
-        counts, last = [0], [b""]
+        counts, last, tokens, fits, reach = [0], [b""], self.tokens, self.fits, self.reach.get
         for i in range(1, len(data) + 1):
-            for j in range(max(0, i - self.longest), i):
+            for j in range(max(0, i - reach(data[max(0, i - 3) : i], 2)), i):
                 token = data[j:i]
-                if token in self.tokens and (not j or self.fits[last[j], token]):
+                if token in tokens and (not j or fits[last[j], token]):
                     counts.append(counts[j] + 1)
                     last.append(token)
                     break
