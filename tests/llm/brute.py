@@ -115,3 +115,27 @@ def check_packing(rows, pieces, encode, end_id=1, capacity=2048):
         assert at <= capacity
         padding += 0 if at & (at - 1) == 0 else capacity - at
     return padding / max(1, sum(p["length"] for p in pieces))
+
+
+def shingles(text, width=5):
+    w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def similar_components(rows, width=5, similarity=0.8):
+    """component of every row: least doc_id that links of a Jaccard similarity of 0.8 and more lead to, all pairs compared."""
+    sets, parent = [shingles(t, width) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= similarity * len(a | b):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return sorted((d, least[root(i)]) for i, (d, _) in enumerate(rows))
