@@ -155,8 +155,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def keep_identified(docs: DataFrame, most_bits: float = 8.0) -> DataFrame:
-    """docs without those of no known language: no letter, or coded no shorter than plain bytes by the best tree."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """docs without those that op6 calls undetermined: without a letter, or all where nothing was learned. A secret's digits cost many bits and are no reason to go."""
     model = learn(docs.select("doc_id", "text", "lang").where(~held_out()))
-    found = predict(docs, model)
-    return found.where(F.col("lang_pred") != UNDETERMINED).where(F.col("bits_per_byte") < most_bits).select(*docs.columns)
+    return predict(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)

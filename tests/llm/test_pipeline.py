@@ -4,7 +4,7 @@ import random
 
 import brute
 
-from tallyloom.llm import simwide
+from tallyloom.llm import langid, simwide
 
 
 def edited(rng, words, times):
@@ -29,3 +29,12 @@ def test_near_copies_match_brute_force(spark):
     assert found == brute.similar_components(rows)
     assert sorted(r.doc_id for r in simwide.drop_similar(df).collect()) == sorted({c for _, c in found})
     assert simwide.similar_components(df.limit(0)).count() == 0
+
+
+def test_texts_with_secrets_keep_their_language(spark):
+    """Digits and hex cost far more than 8 bits a byte, but the words around them are of a learned language. Both texts are held out."""
+    words = "kala muna sito reva".split()
+    data = [(i, " ".join(words[(i + k) % 4] for k in range(30)), "aa") for i in range(80)]
+    data += [(500, 'token = "2abc9d17e0f345b86a2d91c7" kala muna', "aa"), (502, "+49 170 5550 1234 8872 sito", "aa"), (510, "12 34 56", "aa"), (503, None, "aa")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.keep_identified(df).collect()) == [*range(80), 500, 502]
