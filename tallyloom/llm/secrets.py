@@ -1,7 +1,7 @@
 """Secret scans in DataFrame functions only.
 
-Base patterns find assignments, access keys and hexadecimal runs. The entropy scan adds candidate strings of which
-some window has a Shannon entropy that is high for its character class: counts of the window's characters are kept up as it slides, and the
+Base patterns find assignments, access keys and hexadecimal runs. The entropy scan adds strings (hexadecimal, of both cases and digits, or of one
+case and digits) of which some window has a Shannon entropy that is high for its character class: counts of the window's characters are kept up as it slides, and the
 sum of c * log2(c) over them, in whole millionths, says the entropy exactly. An allow-list suppresses known harmless strings.
 """
 
@@ -26,8 +26,12 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 CANDIDATE = r"[A-Za-z0-9+/_-]{24,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
-#: Least entropy of a window in bits: strings of hexadecimal digits, and strings with small and capital letters and digits.
+#: Within a candidate of neither class below, runs of digits and letters of one case are looked at by themselves.
+RUN = r"(?<![A-Za-z0-9])(?:[a-z0-9]{24,}|[A-Z0-9]{24,})(?![A-Za-z0-9])"
+#: Least entropy of a window in bits: strings of hexadecimal digits, and strings with small and capital letters and digits;
+#: runs with digits and small letters, and runs with digits and capital letters (base-32 has only six digits).
 HEX_BITS, MIXED_BITS = 3.0, 3.6
+LOWER_BITS, UPPER_BITS = 3.5, 3.4
 #: Strings with placeholders and paths of several parts are harmless.
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|xxxx|^[^/]*(/[a-z_-]+){3,}"
 
@@ -95,16 +99,25 @@ def _limit(bits: float) -> int:
     return math.floor((math.log2(WINDOW) - bits) * WINDOW * SCALE)
 
 
+def _covered(x: Column, base: Column) -> Column:
+    """Whether sorted base spans hold all of a span."""
+    return F.aggregate(base, x.start, lambda at, b: F.when(b.start <= at, F.greatest(at, b.end)).otherwise(at)) >= x.end
+
+
 def _entropy_spans(text: Column, base: Column) -> Column:
-    """Added spans: from the first hot window of a candidate to the end of its last; none that meets a base span."""
-    of_class = F.filter(
-        _found(text, CANDIDATE),
-        lambda x: ~x.s.rlike(ALLOWED) & (x.s.rlike("^[0-9A-Fa-f]+$") & x.s.rlike("[0-9]") | x.s.rlike("[a-z]") & x.s.rlike("[A-Z]") & x.s.rlike("[0-9]")),
-    )
+    """Added spans: from the first hot window of a string to the end of its last, unless base spans hold all of it."""
+    is_hex = lambda s: s.rlike("^[0-9A-Fa-f]+$") & s.rlike("[0-9]")
+    of_class = lambda s: is_hex(s) | s.rlike("[a-z]") & s.rlike("[A-Z]") & s.rlike("[0-9]")
+
+    def strings(x: Column) -> Column:
+        runs = F.filter(F.transform(_found(x.s, RUN), lambda r: F.struct((x.at + r.at).alias("at"), r.s.alias("s"))), lambda r: r.s.rlike("[0-9]"))
+        return F.when(of_class(x.s), F.array(F.struct(x.at.alias("at"), x.s.alias("s")))).otherwise(runs)
+
     rank = KINDS.index("entropy")
 
     def span(x: Column) -> Column:
-        most = F.when(x.s.rlike("^[0-9A-Fa-f]+$"), _limit(HEX_BITS)).otherwise(_limit(MIXED_BITS))
+        one_case = F.when(x.s.rlike("^[a-z0-9]+$"), _limit(LOWER_BITS)).when(x.s.rlike("^[A-Z0-9]+$"), _limit(UPPER_BITS))
+        most = F.when(x.s.rlike("^[0-9A-Fa-f]+$"), _limit(HEX_BITS)).otherwise(F.coalesce(one_case, F.lit(_limit(MIXED_BITS))))
         return let(
             _hot_windows(x.s, most),
             lambda w: F.struct(
@@ -112,7 +125,8 @@ def _entropy_spans(text: Column, base: Column) -> Column:
             ),
         )
 
-    return F.filter(F.transform(of_class, span), lambda x: (x.start >= 0) & ~F.exists(base, lambda b: (b.start < x.end) & (x.start < b.end)))
+    looked_at = F.flatten(F.transform(F.filter(_found(text, CANDIDATE), lambda x: ~x.s.rlike(ALLOWED)), strings))
+    return F.filter(F.transform(looked_at, span), lambda x: (x.start >= 0) & ~_covered(x, base))
 
 
 def _listed(spans: Column) -> Column:

@@ -4,7 +4,7 @@ import random
 
 import brute
 
-from tallyloom.llm import langid, simwide
+from tallyloom.llm import langid, secrets, simwide
 
 
 def edited(rng, words, times):
@@ -38,3 +38,14 @@ def test_texts_with_secrets_keep_their_language(spark):
     data += [(500, 'token = "2abc9d17e0f345b86a2d91c7" kala muna', "aa"), (502, "+49 170 5550 1234 8872 sito", "aa"), (510, "12 34 56", "aa"), (503, None, "aa")]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in langid.keep_identified(df).collect()) == [*range(80), 500, 502]
+
+
+def test_random_keys_of_one_case_and_long_keys_with_hex(spark):
+    """Base-36 and base-32 keys are masked, with or without a prefix; a key that holds a run of hex is masked as a whole; slugs and allowed strings stay."""
+    texts = [
+        "key q7w2zk9x4mv8t1rj6hy3pl5n end", "key JBSWY3DPEHPK3PXPQ5ZT6KMN2VXA end", "key tok_q7w2zk9x4mv8t1rj6hy3pl5n end",
+        "key Zx81kQp0LmN4vB7tR2yWdeadbeef01234567Kp9QzT4x end", "see chapter-12-of-the-long-story-about-rivers end", "see example_q7w2zk9x4mv8t1rj6hy3pl5n end",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = [r.text for r in secrets.mask_secrets(df).orderBy("doc_id").collect()]
+    assert masked == ["key [SECRET] end", "key [SECRET] end", "key tok_[SECRET] end", "key [SECRET] end", texts[4], texts[5]]
