@@ -215,6 +215,20 @@ def paired_compare(spark, sf_dir):
     return compare.agreement(both, ["event_type"], "value")
 
 
+_ALL_ALTERED = "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 7 = 0 THEN value + 1 ELSE value END AS value FROM events"
+
+
+@query(
+    f"""WITH b AS ({_ALL_ALTERED}) SELECT event_type, count(*) AS n, count(*) FILTER (e.value IS NULL AND b.value IS NULL) AS both_null, count(*) FILTER (e.value IS NOT DISTINCT FROM b.value AND e.value IS NOT NULL) AS same,
+ count(*) FILTER (e.value IS DISTINCT FROM b.value) AS changed FROM events e JOIN b USING (event_id) GROUP BY ALL"""
+)
+def paired_compare_all(spark, sf_dir):
+    rows, i, v = table(spark, sf_dir, "events"), F.col("event_id"), F.col("value")
+    altered = rows.select("event_id", F.when(i % 10 == 0, None).when(i % 7 == 0, v + 1).otherwise(v).alias("value"))
+    both = compare.paired(rows, altered, ["event_id"], ["value"]).join(rows.select("event_id", "event_type"), "event_id")
+    return compare.agreement(both, ["event_type"], "value")
+
+
 @query(
     """SELECT c_nationkey, round(avg(o_totalprice) FILTER (o_orderstatus = 'F') - avg(o_totalprice) FILTER (o_orderstatus = 'O'), 4) AS difference FROM orders JOIN customer ON o_custkey = c_custkey
  GROUP BY 1 HAVING difference IS NOT NULL"""
