@@ -107,15 +107,15 @@ class LanguageModel:
 
 
 def learn(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Trees from columns text and lang: of each language the `sample_docs` documents whose texts hash lowest.
+    """Trees from columns text and lang: of each language the `sample_docs` distinct texts that hash lowest.
 
     Rows with null text or lang and texts beyond `sample_chars` take no part in learning. The sample is chosen by hashes alone;
     its texts, at most `sample_docs` for each language, are then counted on the driver.
     """
     rows = labelled.where("text is not null and lang is not null").where(F.length("text") <= sample_chars)
     rows = rows.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"))
-    low = rows.select("lang", "h").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_docs)
-    low = low.select("lang", "h").distinct()  # bounded: sample_docs rows for each language
+    low = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_docs)
+    low = low.select("lang", "h")  # bounded: sample_docs rows for each language
     words: dict[str, Counter] = {}
     for r in rows.join(F.broadcast(low), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).collect():
         words.setdefault(r.lang, Counter()).update(r.text.lower().split())

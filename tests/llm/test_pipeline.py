@@ -49,3 +49,9 @@ def test_random_keys_of_one_case_and_long_keys_with_hex(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     masked = [r.text for r in secrets.mask_secrets(df).orderBy("doc_id").collect()]
     assert masked == ["key [SECRET] end", "key [SECRET] end", "key tok_[SECRET] end", "key [SECRET] end", texts[4], texts[5]]
+
+
+def test_copies_hold_one_place_of_the_sample(spark):
+    df = spark.createDataFrame([(t, "aa") for t in ("aaaa", "bbbb", "cccc") for _ in range(5)], "text string, lang string")
+    first_bytes, _, _ = langid.learn(df, sample_docs=2).trees[0].nodes[b" "]
+    assert len(first_bytes) == 2
