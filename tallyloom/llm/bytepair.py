@@ -13,7 +13,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .runtime import ids_and_text
+from .runtime import ids_and_text, resident
 from .textio import CHUNK, Memo, blocks
 
 
@@ -129,14 +129,9 @@ class ByteCoder:
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
-_CODERS: dict[tuple[str, str], ByteCoder] = {}
-
-
 def coder(path: str, pattern: str) -> ByteCoder:
     """One coder for each worker process and vocabulary."""
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = ByteCoder(path, pattern)
-    return _CODERS[path, pattern]
+    return resident(("bytes", path, pattern), lambda: ByteCoder(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

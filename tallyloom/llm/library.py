@@ -5,17 +5,22 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 import regex
 
-from .textio import CHUNK, WORD, Memo, blocks
+from .runtime import resident
+from .textio import CHUNK, WHITE, WORD, Memo, blocks
 from .tokencount import byte_names
 
-#: Distinct pieces whose ids a worker remembers, in each of two generations.
-PIECES = 400_000
+#: Distinct pieces whose ids a worker remembers, in each of two generations, and pre-tokens within pieces that are no words.
+PIECES, MARKS = 300_000, 30_000
 #: Pieces whose normal form, pre-tokens and byte names follow without the library: ASCII and the composed letters of Latin-1.
-SIMPLE = re.compile(r" ?[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+SIMPLE = re.compile(f" ?[!-~{LETTERS}]+")
+#: A run of such letters before white space, an ASCII character of another kind or the end is a pre-token by itself.
+ALONE = rf"[{LETTERS}]+(?![^{WHITE}!-@\[-`{{-~])"
 
 
 class LibraryCoder:
@@ -34,10 +39,10 @@ class LibraryCoder:
             raise ValueError(f"{path} needs whole texts")
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         if spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["normalizer"]:
-            self.pattern, self.inner, self.lower = CHUNK, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False
+            self.pattern, self.inner, self.lower = re.compile(f" ?{ALONE}|{CHUNK.pattern}"), r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False
             plain = spec["pre_tokenizer"]["use_regex"]
         elif spec["pre_tokenizer"]["type"] == "Sequence" and spec["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed":
-            self.pattern, self.inner, self.lower = WORD, spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], True  # white space is dropped
+            self.pattern, self.inner, self.lower = re.compile(f"{ALONE}|{WORD.pattern}"), spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], True  # white space is dropped
             plain = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         else:
             raise ValueError(f"{path} has a pre-tokenizer of another kind")
@@ -54,15 +59,17 @@ class LibraryCoder:
                 piece = piece.translate(table)
             elif piece[0] == " ":
                 piece = space + piece[1:]
-            return b"".join([t.id.to_bytes(4, "little") for t in tokenize(piece)])
+            return struct.pack(f"<{len(found := tokenize(piece))}I", *[t.id for t in found])
 
-        self.tokens = Memo(ids, PIECES // 2 + PIECES // 4)
-        self.pieces = Memo(self._piece, PIECES)
+        self.model, self.marks, self.pieces = ids, Memo(ids, MARKS), Memo(self._piece, PIECES)
+
+    def _part(self, part: str) -> bytes:
+        return self.pieces[part] if part.lstrip(" ").isalpha() else self.marks[part]
 
     def _piece(self, piece: str) -> bytes:
         if self.simple.fullmatch(piece):  # the library's model alone, on the pre-tokens
             piece = piece.lower() if self.lower else piece
-            return self.tokens[piece] if piece.lstrip(" ").isalpha() else b"".join(map(self.tokens.__getitem__, self.split(piece)))
+            return self.model(piece) if piece.lstrip(" ").isalpha() else b"".join(map(self._part, self.split(piece)))
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
@@ -78,11 +85,6 @@ class LibraryCoder:
         return b"".join([*out, self._plain(text[at:] if at else text)])
 
 
-_CODERS: dict[str, LibraryCoder] = {}
-
-
 def library_coder(path: str) -> LibraryCoder:
     """One coder for each worker process and vocabulary."""
-    if path not in _CODERS:
-        _CODERS[path] = LibraryCoder(path)
-    return _CODERS[path]
+    return resident(("library", path), lambda: LibraryCoder(path))

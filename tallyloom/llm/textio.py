@@ -26,6 +26,10 @@ def blocks(pattern: re.Pattern, text: str) -> Iterator[list[str]]:
         yield some
 
 
+#: Longer keys are not remembered, so that entries bound the bytes of a memo.
+LONGEST = 64
+
+
 class Memo(dict):
     """What `make` gives for a key. Keeps two generations of `limit` entries, so common keys stay."""
 
@@ -39,6 +43,8 @@ class Memo(dict):
             self.clear()
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         self.room()
         value = self.old.get(key)
         if value is None:
