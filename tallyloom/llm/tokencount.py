@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .bytepair import merge
-from .runtime import ids_and_text
+from .runtime import ids_and_text, resident
 from .textio import CHUNK, WHITE, Memo, blocks
 
 #: The byte-level pre-tokenizer's own pattern. Fixed values.
@@ -44,7 +45,7 @@ class PrefixCounter:
             self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.pattern = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.white = re.compile(f"[{WHITE}]")
+        self.white = re.compile(f"[{WHITE}]+")
         self.fits = Memo(lambda pair: merge(pair[0] + pair[1], self.ranks) == list(pair), 100_000)
         self.piece = Memo(lambda p: self.prefixes(p.encode("utf-8"))[-1], 400_000)
         split = self.pattern.findall
@@ -77,36 +78,32 @@ class PrefixCounter:
         return sum(sum(map(self.total.__getitem__, some)) for some in blocks(CHUNK, text))
 
     def prefix_counts(self, text: str) -> list[int]:
-        """Tokens of text[:0], text[:1] ... text, exact for each of these texts; the text has no special strings."""
+        """Tokens of text[:0], text[:1] ... text, exact for each of these texts; the text has no special strings.
+
+        A run of white space is one pre-token wherever a prefix ends in it, so its table is made once. Time grows with the text.
+        """
         if self.special.search(text):
             raise ValueError("prefixes of special strings are not defined")
-        out, before, run, run_start = [0], 0, "", 0
-        for chunk in blocks(CHUNK, text):
-            for c in chunk:
-                if self.white.match(c[-1]):
-                    run_start = run_start if run else before
-                    run += c
-                    for k in range(len(c)):
-                        out.append(run_start + self.total[run[: len(run) - len(c) + k + 1]])
-                    before += self.total[c]
-                    continue
-                done = 0
-                for p in self.pattern.findall(c):
-                    inner = self.prefixes(p.encode("utf-8"))
-                    size = 0
-                    for k, ch in enumerate(p):
-                        size += len(ch.encode("utf-8"))
-                        if p in CONTRACTIONS and k + 1 < len(p):
-                            n = self.total[p[: k + 1]]
-                        else:
-                            n = inner[size]
-                        if run and ch == " " and k == 0 and not done:
-                            out.append(run_start + self.total[run + " "])
-                        else:
-                            out.append(before + n)
-                    before += inner[-1]
-                    done += 1
-                run = ""
+        out, before, at, start, table = [0], 0, 0, 0, []
+        for chunk in (c for some in blocks(CHUNK, text) for c in some):
+            white = len(chunk) if self.white.match(chunk[-1]) else int(chunk[0] == " ")
+            if white and at >= start + len(table):
+                run = self.white.match(text, at)[0]
+                inner, start = self.prefixes(run.encode("utf-8")), at
+                table = [out[at] + inner[n] for n in accumulate(len(ch.encode("utf-8")) for ch in run)]
+            out += table[at - start : at - start + white] if white else ()
+            at += len(chunk)
+            if white == len(chunk):
+                before += self.total[chunk]
+                continue
+            for p in self.pattern.findall(chunk):
+                inner = self.prefixes(p.encode("utf-8"))
+                for k, n in enumerate(accumulate(len(ch.encode("utf-8")) for ch in p)):
+                    if white:
+                        white = 0  # counted above
+                    else:
+                        out.append(before + (self.total[p[: k + 1]] if p in CONTRACTIONS and k + 1 < len(p) else inner[n]))
+                before += inner[-1]
         return out
 
     def fit(self, text: str, budget: int) -> int:
@@ -115,14 +112,9 @@ class PrefixCounter:
         return max(i for i, n in enumerate(counts) if n <= budget)
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
     """One counter for each worker process and vocabulary."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return resident(("counts", path), lambda: PrefixCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
