@@ -1,9 +1,9 @@
 """Substring dedup by suffix automata of reference shards.
 
 A window is a run of LENGTH words. Of each window the k-gram with the least hash is its anchor, so equal windows have equal
-anchors at equal places. Anchors of two documents and more lead to the only passages that can repeat; each shard of the reference is what
-surrounds one anchor, bounded by CROWDED occurrences. Passages stream in document order against the automaton of the passages before them, and a window repeats
-where the matching statistics reach LENGTH: hashes only choose where to look, the automaton compares words.
+anchors at equal places. Anchors of two documents and more lead to the only passages that can repeat. Equal passages of an anchor are merged by 64 bits of their words (two
+wordings of one anchor are taken for equal with a probability of 2 ** -64), and the shard of an anchor holds one passage of each wording, CROWDED at most. These stream in document order against the automaton of the passages before them, and a
+window repeats where the matching statistics reach LENGTH.
 
 A shard automaton is not broadcast: automata of the whole corpus have no size bound, and streaming all documents past all shards costs the square of the
 corpus. Shards and passages meet by their anchor instead. A bounded reference can be broadcast: see strip_reference.
@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import SuffixAutomaton
-from .runtime import discard, ids_and_text, materialize
+from .runtime import discard, ids_and_text, materialize, release
 
 LENGTH, GRAM = 20, 6
-#: Most passages of one anchor that a task compares; beyond, copies are merged first, and then windows are compared one by one.
+#: Most wordings of one anchor in a shard; beyond, its windows are dealt out one by one.
 CROWDED = 1024
+#: Rows of a batch that a task gives back.
+ROWS = 4096
 #: Words of a broadcast automaton, and bytes of a text that are hashed at a time.
 SHARD_WORDS, BLOCK = 200_000, 1 << 22
 
@@ -99,72 +101,117 @@ def windows_and_anchors(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarr
     return place, g[place]
 
 
+SEEN = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("at", pa.int32()), ("windows", pa.int32())])
+
+
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(anchor, doc_id, n): how often an anchor is one in a document. Texts below `length` words have none."""
+    """(anchor, digest, doc_id, h, at, windows) of rows of doc_id, text, h: the passages around anchors that their windows cover, once for each row and wording.
+
+    digest has 64 bits of the passage's words. One row more with a null anchor says that a text has an anchor at two places. Rows without doc_id and texts
+    below `length` words have none.
+    """
+
+    def found(text: str | None) -> tuple[list[np.ndarray], bool]:
+        h = word_hashes(split_words(text))
+        place, a = windows_and_anchors(h, length, gram)
+        if not len(a):
+            return [], False
+        cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
+        first, windows = cut[:-1], np.diff(cut)
+        digest = _GRAMS.runs(h, first, first + windows + (length - 1))
+        anchor = a[first]
+        _, once = np.unique(_mixed(digest ^ anchor), return_index=True)
+        return [anchor[once].view(np.int64), digest[once].view(np.int64), first[once], windows[once]], len(np.unique(anchor)) < len(anchor)
 
     def run(batches):
+        release()
         for b in batches:
-            ids, hashes, counts = [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                place, a = windows_and_anchors(word_hashes(split_words(text)), length, gram)
-                if doc_id is None or not len(a):
+            parts, twice = [], []
+            for doc_id, text, h in zip(*(c.to_pylist() for c in b.columns)):
+                if doc_id is None:
                     continue
-                first = np.concatenate(([True], place[1:] != place[:-1]))
-                found, n = np.unique(a[first].view(np.int64), return_counts=True)
-                ids.append(np.full(len(found), doc_id, np.int64))
-                hashes.append(found)
-                counts.append(n.astype(np.int32))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, counts)], names=["anchor", "doc_id", "n"])
+                columns, again = found(text)
+                if columns:
+                    n = len(columns[0])
+                    parts.append([*columns[:2], np.full(n, doc_id, np.int64), np.full(n, h, np.int32), *(c.astype(np.int32) for c in columns[2:])])
+                if again:
+                    twice.append((None, None, doc_id, h, None, None))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=SEEN)
+            if twice:
+                yield _batch(twice, SEEN)
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, n int")
+    return docs.select("doc_id", "text", "h").mapInArrow(run, "anchor long, digest long, doc_id long, h int, at int, windows int")
 
 
-def passages(marked: DataFrame, length: int, gram: int, crowded: bool) -> DataFrame:
-    """(anchor, doc_id, at, passage, digest): the words around each anchor that its windows cover, once for each document and wording.
+class _Words:
+    """A text's words joined by one space, and where they begin."""
 
-    marked has doc_id, text and the document's repeated anchors, those with few passages in `few` and the others in `many`.
-    """
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("passage", pa.string()), ("digest", pa.binary())])
+    def __init__(self, text: str):
+        self.words = split_words(text)
+        self.data = memoryview(b" ".join(self.words))
+        self.starts = np.cumsum([0, *(len(w) + 1 for w in self.words)])
 
-    def found(doc_id: int, text: str, wanted: list[int]) -> Iterator[tuple]:
-        words = split_words(text)
-        place, a = windows_and_anchors(word_hashes(words), length, gram)
-        cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
-        first, last = cut[:-1], cut[1:] - 1
-        signed = a.view(np.int64)[first]
-        seen = set()
-        for k in np.flatnonzero(np.isin(signed, np.array(wanted, np.int64))).tolist():
-            passage = b" ".join(words[first[k] : last[k] + length])
-            digest = xxhash.xxh3_128_digest(passage)
-            if digest not in seen:
-                seen.add(digest)
-                yield int(signed[k]), doc_id, int(first[k]), passage.decode("utf-8"), digest
+    def part(self, at: int, n: int) -> memoryview:
+        """Words at ... at + n."""
+        return self.data[self.starts[at] : self.starts[at + n] - 1]
+
+
+PASSAGE = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("at", pa.int32()), ("passage", pa.string())])
+WINDOW = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int32()), ("at", pa.int32())])
+
+
+def passages(wanted: DataFrame, length: int) -> DataFrame:
+    """(anchor, doc_id, h, at, passage): the words of the passages listed in `places`, those of the row's own h, of rows of doc_id, h, text, places."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, text, wanted in zip(*(c.to_pylist() for c in b.columns)):
-                for r in found(doc_id, text, wanted or []) if wanted else ():
-                    rows.append(r)
-                    if len(rows) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                        rows = []
+            for doc_id, h, text, places in zip(*(c.to_pylist() for c in b.columns)):
+                w = _Words(text)
+                for p in places:
+                    if p["h"] == h:
+                        rows.append((p["anchor"], doc_id, h, p["at"], str(w.part(p["at"], p["windows"] + length - 1), "utf-8")))
+                if len(rows) >= ROWS:
+                    yield _batch(rows, PASSAGE)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                yield _batch(rows, PASSAGE)
 
-    some = marked.select("doc_id", "text", "many" if crowded else "few")
-    return some.mapInArrow(run, "anchor long, doc_id long, at int, passage string, digest binary")
+    return wanted.select("doc_id", "h", "text", "places").mapInArrow(run, "anchor long, doc_id long, h int, at int, passage string")
 
 
-def repeats_of(group: list[tuple[int, int, str]], length: int) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, first window, windows) of the passages of one anchor that occur in smaller doc_ids.
+def windows_of(wanted: DataFrame, length: int) -> DataFrame:
+    """(window, doc_id, h, at): 128 bits of each window of the listed passages."""
 
-    group has (doc_id, at, passage) in order. Passages of a document join the automaton once the next one comes.
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc_id, h, text, places in zip(*(c.to_pylist() for c in b.columns)):
+                w = _Words(text)
+                for at in sorted({p["at"] + k for p in places if p["h"] == h for k in range(p["windows"])}):
+                    rows.append((xxhash.xxh3_128_digest(w.part(at, length)), doc_id, h, at))
+                if len(rows) >= ROWS:
+                    yield _batch(rows, WINDOW)
+                    rows = []
+            if rows:
+                yield _batch(rows, WINDOW)
+
+    return wanted.select("doc_id", "h", "text", "places").mapInArrow(run, "window binary, doc_id long, h int, at int")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def repeats_of(group: list[tuple[int, int, int, str]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(doc_id, h, first window, windows) of the passages of one anchor that occur in smaller doc_ids.
+
+    group has (doc_id, h, at, passage) in order. Passages of a document join the automaton once the next one comes.
     """
     known: set[str] = set()
     automaton, waiting, own, current = None, [], [], None
-    for doc_id, at, passage in group:
+    for doc_id, h, at, passage in group:
         if doc_id != current:
             for p in own:
                 if p not in known:
@@ -173,7 +220,7 @@ def repeats_of(group: list[tuple[int, int, str]], length: int) -> Iterator[tuple
             own, current = [], doc_id
         own.append(passage)
         if passage in known:
-            yield doc_id, at, passage.count(" ") + 2 - length
+            yield doc_id, h, at, passage.count(" ") + 2 - length
             continue
         if not known:
             continue
@@ -187,21 +234,20 @@ def repeats_of(group: list[tuple[int, int, str]], length: int) -> Iterator[tuple
             if hit and start is None:
                 start = end - length + 1
             elif not hit and start is not None:
-                yield doc_id, at + start, end - length + 1 - start
+                yield doc_id, h, at + start, end - length + 1 - start
                 start = None
         if start is not None:
-            yield doc_id, at + start, end - length + 2 - start
+            yield doc_id, h, at + start, end - length + 2 - start
+
+
+REPEAT = pa.schema([("doc_id", pa.int64()), ("h", pa.int32()), ("at", pa.int32()), ("windows", pa.int32())])
 
 
 def compare(found: DataFrame, length: int) -> DataFrame:
-    """(doc_id, at, windows): windows of found(anchor, doc_id, at, passage) that occur in smaller doc_ids, one shard for each anchor."""
+    """(doc_id, h, at, windows): windows of found(anchor, doc_id, h, at, passage) that occur in smaller doc_ids, one shard for each anchor."""
 
     def run(batches):
         key, group = None, []
-
-        def emit(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "at", "windows"])
-
         for b in batches:
             rows = []
             for anchor, *rest in zip(*(c.to_pylist() for c in b.columns)):
@@ -210,31 +256,35 @@ def compare(found: DataFrame, length: int) -> DataFrame:
                     key, group = anchor, []
                 group.append(rest)
             if rows:
-                yield emit(rows)
+                yield _batch(rows, REPEAT)
         if len(group) > 1 and (rows := list(repeats_of(group, length))):
-            yield emit(rows)
+            yield _batch(rows, REPEAT)
 
-    ordered = found.select("anchor", "doc_id", "at", "passage").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
-    return ordered.mapInArrow(run, "doc_id long, at int, windows int")
+    ordered = found.select("anchor", "doc_id", "h", "at", "passage").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
+    return ordered.mapInArrow(run, "doc_id long, h int, at int, windows int")
 
 
-def _compare_crowded(found: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """For anchors of very many passages: (repeats, first passages that the others of their anchor remain to be compared with).
+def repeats(seen: DataFrame, placed: DataFrame, length: int) -> DataFrame:
+    """(doc_id, h, at, windows): all windows of rows that occur in smaller doc_ids; seen has the passages of shared anchors, placed the texts.
 
-    Equal passages are merged by their 128-bit digests before anything is gathered. What is left of an anchor is compared as usual while it is few; else each
-    window is a passage of its own.
+    Equal passages of an anchor are merged before anything is gathered: those after the first are repeats as a whole. Where an anchor has several
+    wordings, the first passage of each goes into the anchor's shard. A shard that would hold more than CROWDED is dealt out by single windows, which
+    are merged in the same way as passages.
     """
-    first = found.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first"))
-    many = first.groupBy("anchor").count().where(F.col("count") > CROWDED).select("anchor")
-    whole = found.join(first, ["anchor", "digest"])
-    copies = whole.where("doc_id > first").select("doc_id", "at", F.expr(f"size(split(passage, ' ')) - {length - 1}").alias("windows"))
-    originals = whole.where("doc_id = first").select("anchor", "doc_id", "at", "passage")
-    words = F.split("passage", " ")
-    each = originals.join(many, "anchor", "left_semi").select("doc_id", "at", words.alias("words"))
-    each = each.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (length - 1)), lambda i: F.sha2(F.concat_ws(" ", F.slice("words", i, length)).cast("binary"), 256))).alias("k", "window"), "at")
-    earliest = each.groupBy("window").agg(F.min("doc_id").alias("first"))
-    single = each.join(earliest, "window").where("doc_id > first").select("doc_id", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("windows"))
-    return copies.union(single), originals.join(many, "anchor", "left_anti")
+    first = seen.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first"))
+    first = first.join(first.groupBy("anchor").agg(F.count("*").alias("n")), "anchor")
+    whole = seen.join(first, ["anchor", "digest"])
+    copies = whole.where("doc_id > first").select("doc_id", "h", "at", "windows")
+    listed = whole.where("doc_id = first and n > 1").select("doc_id", "h", "anchor", "at", "windows", (F.col("n") > CROWDED).alias("split"))
+
+    def with_text(some: DataFrame) -> DataFrame:
+        return placed.join(some.groupBy("doc_id").agg(F.collect_list(F.struct("h", "anchor", "at", "windows")).alias("places")), "doc_id")
+
+    compared = compare(passages(with_text(listed.where("not split")), length), length)
+    single = windows_of(with_text(listed.where("split")), length)
+    earliest = single.groupBy("window").agg(F.min("doc_id").alias("first"))
+    split = single.join(earliest, "window").where("doc_id > first").select("doc_id", "h", "at", F.lit(1).alias("windows"))
+    return copies.union(compared).union(split)
 
 
 def _own_repeats(words: list[bytes], length: int, gone: np.ndarray) -> None:
@@ -265,34 +315,26 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = ids_and_text(docs)
-    seen = materialize(anchors(rows, length, gram), "anchors")
-    often = seen.groupBy("anchor").agg(F.count("*").alias("docs"), F.sum("n").alias("all")).where(F.col("docs") > 1).select("anchor", "all")
-    crowd = F.col("all") > CROWDED
-    marks = seen.join(often, "anchor").groupBy("doc_id").agg(
-        F.collect_list(F.when(~crowd, F.col("anchor"))).alias("few"), F.collect_list(F.when(crowd, F.col("anchor"))).alias("many")
-    )
-    marks = materialize(marks, "marks")
-    discard(seen)
+    ids_repeat = not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("h", F.hash("text") if ids_repeat else F.lit(0))
+    everything = materialize(anchors(rows, length, gram), "anchors")
+    often = everything.where("anchor is not null").groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    seen = materialize(everything.join(often, "anchor"), "shared")
+    twice = materialize(everything.where("anchor is null").select("doc_id", F.lit(True).alias("twice")).distinct(), "twice")
+    discard(everything)
     placed = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    marked = placed.join(marks, "doc_id")
-    hits = None
-    found = passages(marked, length, gram, crowded=False).drop("digest")
-    if not marks.where(F.size("many") > 0).isEmpty():
-        hits, rest = _compare_crowded(passages(marked, length, gram, crowded=True), length)
-        found = found.unionByName(rest)
-    repeats = compare(found, length)
-    repeats = repeats if hits is None else repeats.union(hits)
-    spans = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("spans"))
+    spans = repeats(seen, placed, length).groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "windows")).alias("spans"))
 
     def run(batches):
         for b in batches:
             out = []
-            for text, some in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for doc_id, text, h, some, own in zip(*(c.to_pylist() for c in b.columns)):
                 words = split_words(text)
                 gone = np.zeros(len(words), bool)
                 for s in some or ():
-                    gone[s["at"] : s["at"] + s["windows"] + length - 1] = True
-                if len(words) > length:
+                    if s["h"] == h:
+                        gone[s["at"] : s["at"] + s["windows"] + length - 1] = True
+                if len(words) > length and (own or doc_id is None):
                     _own_repeats(words, length, gone)
                 n = int(gone.sum())
                 kept = b" ".join(words if not n else [words[i] for i in np.flatnonzero(~gone).tolist()])
@@ -303,7 +345,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 names=["doc_id", "text", "n_words", "n_removed", "kept"],
             )
 
-    joined = placed.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = placed.join(spans, "doc_id", "left").join(twice, "doc_id", "left").select("doc_id", "text", "h", "spans", "twice")
     return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept string")
 
 
@@ -313,11 +355,17 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
 
 def keep_unrepeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with repeated passages cut from text; texts that lose nothing stay as they are, others are their kept words, and a text that loses all its words goes."""
-    found = dedup(docs, length, gram).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), "kept", (F.col("n_removed") == F.col("n_words")).alias("__none"))
+    """docs with repeated passages cut from text; texts that lose nothing stay as they are, others are their kept words, and a text that loses all its words goes.
+
+    Passages are judged as dedup() does, on the input. Null, empty and short texts stay, as do other columns whatever their names; repeated rows are
+    cut alike, each by itself where it has no doc_id; an empty table stays empty.
+    """
+    found = dedup(docs, length, gram).where("n_removed > 0")
+    found = found.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), F.col("kept").alias("__kept"), (F.col("n_removed") == F.col("n_words")).alias("__none"))
     changed = materialize(found.dropDuplicates(["__id", "__h"]), "changed")
-    out = docs.join(changed, (docs.doc_id == changed["__id"]) & (F.xxhash64(docs.text) == changed["__h"]), "left").where("not coalesce(__none, false)")
-    return out.select(*(F.coalesce("kept", docs.text).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    same = docs["doc_id"].cast("long").eqNullSafe(changed["__id"]) & (F.xxhash64(docs["text"].cast("string")) == changed["__h"])
+    out = docs.join(changed, same, "left").where("not coalesce(__none, false)")
+    return out.select(*(F.coalesce(F.col("__kept"), docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns))
 
 
 def strip_reference(docs: DataFrame, reference: list[str], length: int = LENGTH) -> DataFrame:
