@@ -39,18 +39,30 @@ KINDS = ("assign", "access", "hex", "entropy")
 SCALE = 1_000_000
 
 
+#: Values of which running totals are taken at a time: appending to an array copies it.
+STEPS = 64
+
+
+def _running(values: Column, add, zero: Column) -> Column:
+    """add of all values up to each place, in blocks, so that time grows with the number of values and not with its square."""
+    n = F.size(values)
+    one = lambda block: F.aggregate(block, F.array().cast("array<int>"), lambda out, x: F.array_append(out, add(F.coalesce(F.get(out, F.size(out) - 1), zero), x)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / STEPS).cast("int")), lambda k: one(F.slice(values, k * STEPS + 1, STEPS)))
+
+    def joined(parts: Column) -> Column:
+        ends = F.transform(parts, lambda p: F.get(p, F.size(p) - 1))
+        before = lambda all_ends, k: F.aggregate(F.slice(all_ends, 1, k), zero, add)
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, k: let(before(e, k), lambda base: F.transform(p, lambda x: add(base, x))))))
+
+    return F.when(n > 0, let(blocks, joined)).otherwise(F.array().cast("array<int>"))
+
+
 def _found(text: Column, pattern: str) -> Column:
     """struct(at, s) of all matches of a pattern, leftmost first; positions in code points."""
 
     def place(pieces: Column, hits: Column) -> Column:
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<at:int,s:string>>").alias("all"))
-
-        def step(state: Column, hit: Column) -> Column:
-            n = F.size(state["all"])
-            at = state["pos"] + F.length(F.get(pieces, n))
-            return F.struct((at + F.length(hit)).alias("pos"), F.concat(state["all"], F.array(F.struct(at.alias("at"), hit.alias("s")))).alias("all"))
-
-        return F.aggregate(hits, start, step, lambda s: s["all"])
+        gaps = F.transform(hits, lambda h, i: F.length(F.get(pieces, i)) + F.when(i > 0, F.length(F.get(hits, i - 1))).otherwise(0))
+        return F.zip_with(_running(gaps, lambda a, x: a + x, F.lit(0)), hits, lambda at, h: F.struct(at.alias("at"), h.alias("s")))
 
     none = F.array().cast("array<struct<at:int,s:string>>")
     placed = let(F.split(text, pattern, -1), lambda pieces: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: place(pieces, hits)))
@@ -134,11 +146,11 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x.kind), x.start.cast("string"), x.end.cast("string"))), ",")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs (text as string) with `base` and `found`: sorted arrays of struct(start, kind, end), end exclusive.
+def scan(docs: DataFrame, base_name: str = "base", found_name: str = "found") -> DataFrame:
+    """docs (text as string) with columns of these names: sorted arrays of struct(start, kind, end), end exclusive.
 
     Base spans are the leftmost non-overlapping matches of each kind that are long enough; kinds may overlap each other. found has
-    the entropy scan's as well. Null and empty texts have none. Columns named base or found are replaced; rows are neither added nor dropped.
+    the entropy scan's as well. Null and empty texts have none. Columns that have the names already are replaced; rows are neither added nor dropped.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     value = lambda s: F.length(F.regexp_extract(s, ASSIGN, 1))
@@ -148,28 +160,37 @@ def scan(docs: DataFrame) -> DataFrame:
         _spans(_found(text, HEX), "hex", lambda x: F.lit(True)),
     )
     both = let(F.sort_array(base), lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, _entropy_spans(text, b))).alias("found")))
-    rest = docs.drop("base", "found")
-    return rest.select("*", both.alias("__spans")).select(*rest.columns, "__spans.base", "__spans.found")
+    rest = docs.drop(base_name, found_name)
+    return rest.select("*", both.alias("__spans")).select(*rest.columns, F.col("__spans.base").alias(base_name), F.col("__spans.found").alias(found_name))
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row.
+
+    Null and empty texts have no spans; repeated rows each have a row; an empty table gives an empty table; other columns are ignored.
+    """
     found = scan(ids_and_text(docs)).select("doc_id", "base", "found")
     many = lambda kind: F.size(F.filter("base", lambda x: x.kind == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(many, KINDS[:3]), F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every found span of text replaced by the mask, spans that meet as one; null texts stay null."""
+    """docs with every found span of text replaced by the mask, spans that overlap as one.
+
+    Null and empty texts stay as they are, equal texts are masked alike, other columns stay whatever their names, and an empty table stays empty.
+    """
 
     def masked(text: Column, spans: Column) -> Column:
-        start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+        def pieces(ends: Column) -> Column:
+            """What comes before each span, with the mask unless the span goes on from those before it; and the rest."""
+
+            def piece(x: Column, i: Column) -> Column:
+                end = F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+                return F.when(x.start < end, "").otherwise(F.concat(F.substring(text, end + 1, x.start - end), F.lit(mask)))
 
-        def step(a: Column, x: Column) -> Column:
-            piece = F.concat(a["out"], F.substring(text, a["pos"] + 1, x.start - a["pos"]), F.lit(mask))
-            return F.struct(F.greatest(a["pos"], x.end).alias("pos"), F.when(x.start < a["pos"], a["out"]).otherwise(piece).alias("out"))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, F.get(ends, F.size(ends) - 1) + 1, F.length(text)))
 
-        return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
+        return let(_running(F.transform(spans, lambda x: x.end), lambda a, x: F.greatest(a, x), F.lit(0)), pieces)
 
-    new = F.when(F.size("found") > 0, masked(F.col("text"), F.col("found"))).otherwise(F.col("text"))
-    return scan(docs).select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    new = F.when(F.size("__found") > 0, masked(F.col("text"), F.col("__found"))).otherwise(F.col("text"))
+    return scan(docs, "__base", "__found").select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
