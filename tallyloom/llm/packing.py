@@ -49,9 +49,22 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[
     return float(value[capacity]), pattern
 
 
-def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (one a column) and how often the linear program uses each, by the revised simplex method."""
-    m = len(sizes)
+def least_sequences(histogram: dict[int, int], capacity: int) -> float:
+    """A number of sequences that no packing can go below: of prices under which no pattern is worth more than a sequence, what the demand costs.
+
+    Each pattern is worth at most `worth` under the last prices, so prices divided by that are such (weak duality).
+    """
+    sizes = np.array(sorted(s for s, n in histogram.items() if n), np.int64)
+    if not len(sizes):
+        return 0.0
+    demand = np.array([histogram[s] for s in sizes.tolist()], np.float64)
+    _, _, prices = generate_columns(sizes, demand, capacity)
+    worth, _ = best_pattern(sizes, prices, capacity)
+    return max(float((demand * sizes).sum() / capacity), float((prices * demand).sum() / max(worth, 1.0)))
+
+
+def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns (one a column), how often the linear program uses each, and the sizes' dual prices, by the revised simplex method."""
     patterns = np.diag(capacity // sizes).astype(np.int64)
     inverse = np.diag(1.0 / (capacity // sizes))
     place = {s: i for i, s in enumerate(sizes.tolist())}
@@ -81,7 +94,7 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, round
         row = inverse[out] / step[out]
         inverse -= step[:, None] * row
         inverse[out] = row
-    return patterns, np.maximum(use, 0.0) if m else use
+    return patterns, np.maximum(use, 0.0), np.maximum(inverse.sum(axis=0), 0.0)
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -90,7 +103,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[i
     if not len(sizes):
         return []
     demand = np.array([histogram[s] for s in sizes.tolist()], np.float64)
-    patterns, use = generate_columns(sizes, demand, capacity)
+    patterns, use, _ = generate_columns(sizes, demand, capacity)
     whole = np.floor(use + 1e-6).astype(np.int64)
     left, out = demand.astype(np.int64), []
     for k in np.argsort(-whole, kind="stable").tolist():

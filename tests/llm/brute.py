@@ -62,6 +62,31 @@ def substring_dedup(rows, length=20):
     return sorted(out, key=str)
 
 
+def code_length(texts, text, order=4):
+    """Bits of a text by contexts counted one by one, and its bytes."""
+    coded = lambda t: "".join(" " + w for w in t.lower().split()).encode()
+    seen = defaultdict(Counter)
+    for t in texts:
+        data = b" " * order + coded(t)
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                seen[data[i - k : i]][data[i]] += 1
+    data, bits = b" " * order + coded(text), 0.0
+    for i in range(order, len(data)):
+        for k in range(order, -1, -1):
+            counts = seen.get(data[i - k : i])
+            if counts is None:
+                continue
+            n, t = sum(counts.values()), len(counts)
+            if data[i] in counts:
+                bits += np.log2((n + t) / counts[data[i]])
+                break
+            bits += np.log2((n + t) / t)
+        else:
+            bits += 8.0
+    return bits, len(data) - order
+
+
 def quality_counts(text):
     text = text or ""
     w = words(text)

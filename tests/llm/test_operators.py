@@ -157,12 +157,42 @@ def test_language_with_nothing_to_learn(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
-def test_code_lengths_are_those_of_a_distribution():
-    from collections import Counter
+def test_code_lengths_match_brute_force_and_are_those_of_a_distribution(monkeypatch):
+    import numpy as np
 
-    tree = langid.ContextTree(Counter({"abab": 3, "abc": 2, "cab": 1}))
-    for context in (b"", b" ", b" a", b" ab", b"zz", b" aba"):
-        assert sum(2 ** -tree.bits(context, b) for b in range(256)) <= 1 + 1e-9
+    trained = ["abab  abc cab", "Ab Ä中 a", "", "zz " * 9]
+    tree = langid.ContextTree(trained)
+    model = langid.LanguageModel({"aa": tree, "bb": langid.ContextTree(["xyz"])})
+    monkeypatch.setattr(langid, "BLOCK", 16)
+    texts = ["abab", " Zz\n\nabc ", "", "ÄÄ中 q" * 20, "w" * 100]
+    units, size = model.units(texts)
+    for text, u, n in zip(texts, units[:, 0].tolist(), size.tolist()):
+        bits, data = brute.code_length(trained, text)
+        assert abs(u / 2**langid.UNIT - bits) < 1e-6 and n == data
+    assert model.units(texts[3:4])[0].tolist() == units[3:4].tolist()  # blocks and remembered grams change nothing
+    for context in (b"    ", b"  ab", b" abc", b"zzzz", b"\0\0\0\0"):
+        grams = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
+        assert np.exp2(-tree.bits(grams) / 2**langid.UNIT).sum() <= 1 + 1e-6
+
+
+def test_held_out_documents_are_identified(spark):
+    """Of the documents that the model has not seen, at least 98 of 100 get their label; some labels are wrong on purpose."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(table).where("held_out").join(table.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 200 and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+
+
+def test_more_languages_than_the_bound(spark):
+    df = spark.createDataFrame([("aaaa", "x"), ("aaab", "x"), ("bbbb", "y"), ("cccc", "z")], "text string, lang string")
+    assert langid.learn(df, max_languages=2).languages == ["x", "y"]
+
+
+def test_columns_named_like_those_of_the_operators_stay(spark):
+    words = "kala muna sito reva token=abcdefghijkl12"
+    names = ["lang_pred", "score", "bits_per_byte", "base", "found"]
+    df = spark.createDataFrame([(i, words, "aa", *names) for i in range(20)], f"doc_id long, text string, lang string, {', '.join(f'{n} string' for n in names)}")
+    for out in (langid.keep_identified(df), secrets.mask_secrets(df)):
+        assert out.columns == df.columns and [tuple(r)[3:] for r in out.collect()] == [tuple(names)] * 20
 
 
 def test_packing_holds_every_id_once(docs, rows, empty):
@@ -186,7 +216,17 @@ def test_packing_plan_is_near_the_bound():
         for s, n in pattern.items():
             used[s] = used.get(s, 0) + n * times
     assert used == histogram
-    assert sum(n for _, n in plan) <= 1.002 * sum(s * n for s, n in histogram.items()) / 256 + 2
+    # sizes above half a sequence cannot fill it, so the bound is the dual one, not tokens over capacity
+    assert sum(n for _, n in plan) <= packing.least_sequences(histogram, 256) + len(histogram)
+    assert sum(s * n for s, n in histogram.items()) / 256 <= packing.least_sequences(histogram, 256) <= sum(n for _, n in plan) + 1e-6
+
+
+def test_packing_pads_little(spark):
+    """On whole documents, sequences that are not full hold at least 99 of 100 tokens."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = packing.pack(table, P.path("word_bpe_49k.json")).groupBy("sequence_id").sum("length").collect()
+    padding = sum(2048 - r[1] for r in found if r[1] & (r[1] - 1))
+    assert padding <= 0.01 * sum(r[1] for r in found)
 
 
 def test_media_digests(docs, rows, empty):
@@ -227,6 +267,17 @@ def test_masked_texts(docs, rows):
     assert masked[18] == "key [SECRET] and AKIA123" and masked[19] == "[SECRET] [SECRET] cafe" and masked[17].startswith("[SECRET]")
 
 
+def test_many_secrets_in_one_text(spark):
+    """Places are running totals taken in blocks: texts with more spans than a block, spans that overlap, and code points beyond the first plane."""
+    text = "𝄞 " + " ".join(f"token={i:016x}é" for i in range(3 * secrets.STEPS + 5))
+    df = spark.createDataFrame([(1, text), (2, text[: text.index("é", 200)])], "doc_id long, text string")
+    for r in secrets.secret_digests(df).collect():
+        t = text if r.doc_id == 1 else text[: text.index("é", 200)]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == tuple(brute.secrets(t))[:4]
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(df).collect()}
+    assert masked[1] == "𝄞 " + " ".join(["[SECRET]é"] * (3 * secrets.STEPS + 5))
+
+
 @pytest.mark.parametrize("text", ["Zx81kQp0LmN4vB7tR2yW9uE5sD3f", "aaaaaaaaaaaaaaaaaaaaaaaaA1", "internationalizationOfThings42", "0a1B2c3D4e5F6a7b8c9d0e1f2a3b4c5d", "AbC1" * 12])
 def test_sliding_entropy_equals_fresh_windows(spark, text):
     import math

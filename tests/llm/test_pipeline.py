@@ -4,6 +4,10 @@ import random
 
 import brute
 
+import corpus_pipeline
+import public_tokenizers
+from tokenizers import Tokenizer
+
 from tallyloom.llm import langid, secrets, simwide
 
 
@@ -53,5 +57,33 @@ def test_random_keys_of_one_case_and_long_keys_with_hex(spark):
 
 def test_copies_hold_one_place_of_the_sample(spark):
     df = spark.createDataFrame([(t, "aa") for t in ("aaaa", "bbbb", "cccc") for _ in range(5)], "text string, lang string")
-    first_bytes, _, _ = langid.learn(df, sample_docs=2).trees[0].nodes[b" "]
-    assert len(first_bytes) == 2
+    grams, *_ = langid.learn(df, sample_docs=2).trees[0].levels[0]
+    assert len(set(grams.tolist()) - {ord(" ")}) == 2
+
+
+def test_the_whole_pipeline_stage_by_stage(spark):
+    """Each stage's rows on a small table against plain versions of what it does to its own input."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stages, at = dict(corpus_pipeline.STAGES), [docs]
+    for name in [n for n, _ in corpus_pipeline.STAGES][:-1]:
+        out = stages[name](spark, at[-1], "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        at.append(corpus_pipeline.materialize(out, name))
+    tables = [{r.doc_id: r.asDict() for r in t.collect()} for t in at]
+    raw, known, apart, cut, masked = tables
+    assert set(known) == {i for i, r in raw.items() if any(map(str.isalpha, r["text"] or ""))} and all(known[i] == raw[i] for i in known)
+    classes = brute.similar_components([(i, r["text"]) for i, r in known.items()])
+    assert set(apart) == {c for _, c in classes} and all(apart[i] == known[i] for i in apart)
+    want = {i: (n, gone, sha) for i, n, gone, sha in brute.substring_dedup(sorted((i, r["text"]) for i, r in apart.items()))}
+    assert set(cut) == {i for i, (n, gone, _) in want.items() if not n or gone < n}
+    for i, r in cut.items():
+        text = " ".join(brute.words(r["text"])) if want[i][1] else r["text"]
+        assert brute.hashlib.sha256(" ".join(brute.words(r["text"])).encode()).hexdigest() == want[i][2] and r["text"] == text and r["n_chars"] == len(text)
+    assert set(masked) == set(cut)
+    for i, r in masked.items():
+        spans = brute.secrets(cut[i]["text"])
+        assert sum(spans[:3]) == 0 or "[SECRET]" in r["text"]
+        assert sum(brute.secrets(r["text"])[:3]) == 0 and r["n_chars"] == len(r["text"])
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = [r.asDict() for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()]
+    brute.check_packing([(i, r["text"]) for i, r in masked.items()], pieces, lambda t: lib.encode(t, add_special_tokens=False).ids)
