@@ -68,13 +68,12 @@ def set_hash(df: DataFrame, order: Sequence[str], row: Column) -> DataFrame:
 
 
 def set_sizes(sets: DataFrame, key: str, item: str, reference) -> DataFrame:
-    """For each set, items that the reference set has and it lacks, and the other way round."""
-    ref = sets.where(F.col(key) == reference).select(F.col(item)).distinct()
-    names = sets.select(key).distinct().where(F.col(key) != reference)
-    wanted = names.crossJoin(ref)  # one row for each set and reference item: what the check is about
-    own = sets.where(F.col(key) != reference).select(key, item).distinct()
-    marked = wanted.withColumn("__want", F.lit(1)).join(own.withColumn("__have", F.lit(1)), [key, item], "full_outer")
-    return marked.groupBy(key).agg(F.count_if(F.col("__have").isNull()).alias("missing"), F.count_if(F.col("__want").isNull()).alias("extra"))
+    """For each set, the number of items that the reference set has and it lacks, and the other way round: from the sizes of the sets and of what they share."""
+    rows = sets.select(key, item).distinct()
+    ref = rows.where(F.col(key) == reference).select(item, F.lit(1).alias("__in"))
+    size = ref.agg(F.count("*").alias("__size"))  # a single row
+    own = rows.where(F.col(key) != reference).join(ref, item, "left").groupBy(key).agg(F.count("*").alias("__own"), F.count("__in").alias("__both"))
+    return own.crossJoin(size).select(key, (F.col("__size") - F.col("__both")).alias("missing"), (F.col("__own") - F.col("__both")).alias("extra"))
 
 
 def scan_until_failure(points: DataFrame, keys: Sequence[str], order: str, holds: Column) -> DataFrame:

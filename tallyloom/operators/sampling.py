@@ -28,10 +28,16 @@ def largest_remainder(strata: DataFrame, name: str, size: str, total: int) -> Da
 
 
 def evenly_spaced(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: int) -> DataFrame:
-    """`count` rows of each key at the middles of equal stretches: row i of n where i = floor((j + 1/2) n / count)."""
+    """`count` rows of each key at the middles of equal stretches: row i of n where i = floor((j + 1/2) n / count).
+
+    More rows than a key has are an error; none are an empty table.
+    """
+    if not count:
+        return df.limit(0)
     ranked = df.withColumn("__i", (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
     sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    chosen = sizes.select(*keys, "__n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("__j"))
+    enough = F.when(F.col("__n") < count, F.raise_error(F.lit(f"fewer than {count} rows")).cast("bigint")).otherwise(F.col("__n"))
+    chosen = sizes.select(*keys, enough.alias("__n"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("__j"))
     chosen = chosen.select(*keys, F.expr(f"((2 * __j + 1) * __n) div {2 * count}").cast("long").alias("__i")).distinct()
     return ranked.join(chosen, [*keys, "__i"], "left_semi").drop("__i")
 
@@ -56,12 +62,12 @@ def split_by_hash(df: DataFrame, digest: Column, ties: Sequence[str], n: int, fi
 
 
 def repeat(df: DataFrame, total: int, digest: Column, ties: Sequence[str]) -> DataFrame:
-    """Every row as often as it goes into total, and the rest to the rows whose digests come first; canonical order by ties."""
-    n = df.count()
-    base, rest = divmod(total, n)
-    extra = df.withColumn("__d", digest).orderBy("__d", *ties).limit(rest).select(*ties, F.lit(1).alias("__more"))
-    times = df.join(extra, list(ties), "left").withColumn("__times", F.lit(base) + F.coalesce("__more", F.lit(0)))
-    return times.where("__times > 0").withColumn("repeat_index", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).drop("__more", "__times")
+    """Every row as often as it goes into total, and the rest to the rows whose digests come first; canonical order by ties. An empty table stays empty."""
+    size = df.agg(F.count("*").alias("__n"))  # a single row
+    placed = df.withColumn("__d", digest).withColumn("__rank", F.row_number().over(W.orderBy("__d", *ties))).drop("__d")  # the sample of a training set: one ordered list on purpose
+    times = F.expr(f"{total} div __n") + F.when(F.col("__rank") <= F.expr(f"{total} % __n"), 1).otherwise(0)
+    counted = placed.crossJoin(size).withColumn("__times", times).where("__times > 0")
+    return counted.withColumn("repeat_index", F.explode(F.sequence(F.lit(0), (F.col("__times") - 1).cast("int")))).drop("__n", "__rank", "__times")
 
 
 def seeded_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], seed: int | str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.parsing import written_lines
+
 CLASSES = ("correct", "rule", "other_error", "parse_fail")
 
 
@@ -83,7 +85,7 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, top: int) -> D
 
 def length_profile(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Exact least, median and largest number of characters, and median number of lines with anything in them."""
-    lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
+    lines = F.size(written_lines(F.col(text)))
     rows = df.select(*keys, F.length(text).alias("c"), lines.alias("l"))
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("c").alias("least"), F.median("c").alias("median"), F.max("c").alias("most"), F.median("l").alias("median_lines"))
 

@@ -40,7 +40,7 @@ def test_yes_and_no(spark):
     assert answers(spark, list(YES_NO), parsing.parse_yes_no(F.col("text"))) == list(YES_NO.values())
 
 
-WORDS = {"nine": 9, "one hundred and five": 105, "minus twenty one": -21, "The answer is forty-two": 42, "hundred": 100, "two thousand three": 2003, "the ninth": 9, "one of the numbers is five": None, "9 nine": None, "and": None}
+WORDS = {"negative the nineteenth": -19, "two hundred thousand and hundred": 200100, "ｆｏｕｒ": 4, "seven ５": None, "thousand": 1000, "": None, "minus": None, "nine": 9, "one hundred and five": 105, "minus twenty one": -21, "The answer is forty-two": 42, "hundred": 100, "two thousand three": 2003, "the ninth": 9, "one of the numbers is five": None, "9 nine": None, "and": None}
 
 
 def test_number_words(spark):
@@ -48,13 +48,14 @@ def test_number_words(spark):
 
 
 def test_final_lines(spark):
-    texts = ["step\nTherefore, 9.", "first\nlast line ", "", "Final answer:\n\n 12", None]
-    assert answers(spark, texts, parsing.final_answer("text")) == ["9", "last line", None, "12", None]
+    texts = ["step\nTherefore, 9.", "first\nlast line ", "", "Final answer:\n\n 12", None, "so, 「7」。\u2028rest", "a therefore .\n!", "x\r\t y \x0b \x85"]
+    assert answers(spark, texts, parsing.final_answer("text")) == ["9", "last line", None, "12", None, "7", "!", "y"]
 
 
 def test_forms_and_sums(spark):
-    texts = [" -5 ", "Answer: 5", "5\nanswer: 5", "so 5", "!!", "193 + 46"]
-    assert answers(spark, texts, parsing.response_form(F.col("text"))) == ["number_only", "answer_tag_only", "answer_tag_only", "with_words", "other", "other"]
+    texts = [" -5 ", "1,234", "Answer: 5", "5\r\n\tAnswer:-1,000 \n", "5\nanswer: 5", "so 5", "x", "!!", "193 + 46", "\u3000\x1c7"]
+    forms = ["number_only", "number_only", "answer_tag_only", "answer_tag_only", "with_words", "with_words", "other", "other", "other", "number_only"]
+    assert answers(spark, texts, parsing.response_form(F.col("text"))) == forms
     assert answers(spark, ["93 + 46", "46+93 ok", "193 + 46", "93 + 461"], parsing.writes_sum(F.col("text"), F.lit(93), F.lit(46))) == [True, True, False, False]
 
 
@@ -155,12 +156,34 @@ def test_crossings_by_kind(spark):
     found = {r.key: (r.kind, r.crossing) for r in stats.locate_crossings(spark.createDataFrame(rows, "key string, theta long, n long, k long"), ["key"]).collect()}
     assert found["zero"][0] == "one_sided_0" and found["one"][0] == "one_sided_1" and found["stairs"] == ("staircase", 0.5) and found["falls"][0] == "reversed_staircase"
     assert found["curve"][0] == "fit" and abs(found["curve"][1] - 0.5) < 0.05
+    mixed = [(key, theta, 4, k) for key, ks in {"one theta": (0, 2, 4), "late": (0, 0, 1, 4), "falls": (4, 3, 0), "slope": (3, 1, 3, 1), "flat": (2, 2, 2)}.items() for theta, k in enumerate(ks, -2)]
+    found = {r.key: (r.kind, r.crossing) for r in stats.locate_crossings(spark.createDataFrame(mixed, "key string, theta long, n long, k long"), ["key"]).collect()}
+    assert found["one theta"] == ("staircase", -1.0) and found["late"] == ("staircase", 0.0) and found["falls"] == ("reversed_staircase", None)
+    assert found["slope"] == ("beta1_nonpositive", None) and found["flat"] == ("beta1_nonpositive", None)
 
 
 def test_margins_and_ranks():
     assert stats.margin_quantile([1.0, 2.0, 3.0], 0.5) == 2.0 and stats.margin_quantile([1.0, 2.0], 0.9, failed=1) is None
-    assert stats.margin_quantile([1.0, 2.0], 0.5, failed=1, failed_as_equivalent=True) == 1.0 and stats.margin_quantile([], 0.5) is None
-    assert stats.design_rank([(t, c) for t in "xy" for c in "abc"]) == (4, 6)
+    assert stats.margin_quantile([1.0, 2.0], 0.5, failed=1, failed_as_equivalent=True) == 1.0
+    with pytest.raises(ValueError, match="no values"):
+        stats.margin_quantile([], 0.5)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_design_ranks_equal_those_of_the_matrices(seed):
+    rng = np.random.default_rng(seed)
+    cells = [(t, c) for t in "wxyz" for c in "abc" if rng.random() < 0.5] or [("w", "a")]
+    tasks, levels = sorted({t for t, _ in cells}), sorted({c for _, c in cells})
+    dummies = np.array([[*(t == x for x in tasks), *(c == y for y in levels)] for t, c in cells], float)
+    every = np.array([[t == x and c == y for x in tasks for y in levels] for t, c in cells], float)
+    assert stats.design_rank(cells) == (np.linalg.matrix_rank(dummies), np.linalg.matrix_rank(every))
+
+
+def test_samples_of_nothing_and_of_too_much(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(6)], "id long, k long")
+    assert sampling.evenly_spaced(rows, ["k"], ["id"], 0).count() == 0 and sampling.repeat(rows.limit(0), 5, F.sha2(F.col("id").cast("string"), 256), ["id"]).count() == 0
+    with pytest.raises(Exception, match="fewer than 4 rows"):
+        sampling.evenly_spaced(rows, ["k"], ["id"], 4).count()
 
 
 def test_log_means_stay_finite(spark):
