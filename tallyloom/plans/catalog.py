@@ -520,3 +520,7 @@ def permuted_tasks(spark, sf_dir):
     """Labels dealt anew to items; the order is a hash of Spark's own."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     return sampling.permuted_labels(rows, ["p_brand"], "p_partkey", "p_type", 3)
+
+
+# further queries register themselves
+from tallyloom.plans import pools  # noqa: E402, F401
