@@ -5,7 +5,9 @@ import random
 import brute
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tallyloom.llm import langid, secrets, simwide
@@ -19,8 +21,10 @@ def edited(rng, words, times):
     return out
 
 
-def test_near_copies_match_brute_force(spark):
+@pytest.mark.parametrize("crowded", [512, 8])
+def test_near_copies_match_brute_force(spark, monkeypatch, crowded):
     """Copies about 0.8, on both sides of it, a tight group, exact copies, and texts of few words."""
+    monkeypatch.setattr(simwide, "CROWDED", crowded)
     rng, rows = random.Random(1), []
     for k in range(60):
         words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
@@ -35,6 +39,18 @@ def test_near_copies_match_brute_force(spark):
     assert simwide.similar_components(df.limit(0)).count() == 0
 
 
+def test_blocks_find_every_similar_pair(monkeypatch):
+    monkeypatch.setattr(simwide, "COLUMNS", 64)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    group = [np.unique(np.where(rng.random(300) < e, rng.integers(0, 1 << 60, 300).astype(np.uint64), base)) for e in rng.choice([0.02, 0.06, 0.1, 0.3], 40)]
+    labels, side = rng.integers(0, 5, 40), rng.random(40) < 0.5
+    near = lambda i, j: len(np.intersect1d(group[i], group[j])) / len(np.union1d(group[i], group[j])) >= 0.8
+    want = [(i, j) for i in range(40) for j in range(i + 1, 40) if labels[i] != labels[j] and near(i, j)]
+    assert list(zip(*(x.tolist() for x in simwide.similar_in(group, labels, np.zeros(40, bool), 0.8)))) == want and want
+    assert list(zip(*(x.tolist() for x in simwide.similar_in(group, labels, side, 0.8)))) == [(i, j) for i, j in want if side[i] != side[j]]
+
+
 def test_texts_with_secrets_keep_their_language(spark):
     """Digits and hex cost far more than 8 bits a byte, but the words around them are of a learned language. Both texts are held out."""
     words = "kala muna sito reva".split()
