@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .automata import SuffixAutomaton
 from .runtime import discard, ids_and_text, materialize, release
@@ -161,13 +162,17 @@ PASSAGE = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("h", pa.in
 WINDOW = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int32()), ("at", pa.int32())])
 
 
+#: Columns of a row with its text and places: own names, as other columns of the documents ride along.
+PLACED = ("__id", "__h", "text", "__places")
+
+
 def passages(wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, doc_id, h, at, passage): the words of the passages listed in `places`, those of the row's own h, of rows of doc_id, h, text, places."""
+    """(anchor, doc_id, h, at, passage): the words of the passages listed in `places`, those of the row's own h."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, h, text, places in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, h, text, places in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in PLACED)):
                 w = _Words(text)
                 for p in places:
                     if p["h"] == h:
@@ -178,7 +183,7 @@ def passages(wanted: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield _batch(rows, PASSAGE)
 
-    return wanted.select("doc_id", "h", "text", "places").mapInArrow(run, "anchor long, doc_id long, h int, at int, passage string")
+    return wanted.mapInArrow(run, "anchor long, doc_id long, h int, at int, passage string")
 
 
 def windows_of(wanted: DataFrame, length: int) -> DataFrame:
@@ -187,7 +192,7 @@ def windows_of(wanted: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, h, text, places in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, h, text, places in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in PLACED)):
                 w = _Words(text)
                 for at in sorted({p["at"] + k for p in places if p["h"] == h for k in range(p["windows"])}):
                     rows.append((xxhash.xxh3_128_digest(w.part(at, length)), doc_id, h, at))
@@ -197,7 +202,7 @@ def windows_of(wanted: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield _batch(rows, WINDOW)
 
-    return wanted.select("doc_id", "h", "text", "places").mapInArrow(run, "window binary, doc_id long, h int, at int")
+    return wanted.mapInArrow(run, "window binary, doc_id long, h int, at int")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -278,7 +283,8 @@ def repeats(seen: DataFrame, placed: DataFrame, length: int) -> DataFrame:
     listed = whole.where("doc_id = first and n > 1").select("doc_id", "h", "anchor", "at", "windows", (F.col("n") > CROWDED).alias("split"))
 
     def with_text(some: DataFrame) -> DataFrame:
-        return placed.join(some.groupBy("doc_id").agg(F.collect_list(F.struct("h", "anchor", "at", "windows")).alias("places")), "doc_id")
+        places = some.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("h", "anchor", "at", "windows")).alias("__places"))
+        return placed.join(places, "__id")  # with all columns, so that the same shuffle of texts serves every join
 
     compared = compare(passages(with_text(listed.where("not split")), length), length)
     single = windows_of(with_text(listed.where("split")), length)
@@ -306,29 +312,26 @@ def _own_repeats(words: list[bytes], length: int, gone: np.ndarray) -> None:
         seen.add(digest)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text, n_words, n_removed, kept (words that stay, joined by one space) of every row.
-
-    A word goes if a window of `length` words that covers it also starts earlier: in a smaller doc_id, or earlier in the same row. Windows are
-    judged on the input. Null and empty texts have no words; texts below `length` words stay whole; rows that share a doc_id do not
-    remove each other's words, nor does a row without doc_id take part beyond its own text. Other columns are ignored.
-    """
+def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with __id, __n_words, __n_removed and __kept (words that stay, joined by one space); text as string. See dedup()."""
     spark = docs.sparkSession
-    rows = ids_and_text(docs)
-    ids_repeat = not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    rows = rows.withColumn("h", F.hash("text") if ids_repeat else F.lit(0))
-    everything = materialize(anchors(rows, length, gram), "anchors")
+    rows = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns), F.col("doc_id").cast("long").alias("__id"))
+    ids_repeat = not rows.where("__id is not null").groupBy("__id").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("__h", F.hash("text") if ids_repeat else F.lit(0))
+    everything = materialize(anchors(rows.select(F.col("__id").alias("doc_id"), "text", F.col("__h").alias("h")), length, gram), "anchors")
     often = everything.where("anchor is not null").groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     seen = materialize(everything.join(often, "anchor"), "shared")
-    twice = materialize(everything.where("anchor is null").select("doc_id", F.lit(True).alias("twice")).distinct(), "twice")
+    twice = materialize(everything.where("anchor is null").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__twice")).distinct(), "twice")
     discard(everything)
-    placed = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    spans = repeats(seen, placed, length).groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "windows")).alias("spans"))
+    placed = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "__id")
+    spans = repeats(seen, placed, length).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("h", "at", "windows")).alias("__spans"))
+    added = T.StructType().add("__n_words", "long").add("__n_removed", "long").add("__kept", "string")
 
     def run(batches):
         for b in batches:
-            out = []
-            for doc_id, text, h, some, own in zip(*(c.to_pylist() for c in b.columns)):
+            out, kept_columns = [], [b.column(i) for i in range(b.num_columns - 3)]
+            column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
+            for doc_id, text, h, some, own in zip(*map(column, ("__id", "text", "__h", "__spans", "__twice"))):
                 words = split_words(text)
                 gone = np.zeros(len(words), bool)
                 for s in some or ():
@@ -339,14 +342,23 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 n = int(gone.sum())
                 kept = b" ".join(words if not n else [words[i] for i in np.flatnonzero(~gone).tolist()])
                 out.append((len(words), n, kept.decode("utf-8")))
-            n_words, n_removed, kept = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                names=["doc_id", "text", "n_words", "n_removed", "kept"],
-            )
+            new = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept_columns, *new], names=[*b.schema.names[:-3], *added.names])
+
+    joined = placed.join(spans, "__id", "left").join(twice, "__id", "left").select(*docs.columns, "__id", "__h", "__spans", "__twice")
+    through = T.StructType([f for f in joined.schema.fields if f.name not in ("__h", "__spans", "__twice")])
+    return joined.mapInArrow(run, T.StructType([*through.fields, *added.fields]))
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, text, n_words, n_removed, kept (words that stay, joined by one space) of every row.
 
-    joined = placed.join(spans, "doc_id", "left").join(twice, "doc_id", "left").select("doc_id", "text", "h", "spans", "twice")
-    return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept string")
+    A word goes if a window of `length` words that covers it also starts earlier: in a smaller doc_id, or earlier in the same row. Windows are
+    judged on the input. Null and empty texts have no words; texts below `length` words stay whole; rows that share a doc_id do not
+    remove each other's words, nor does a row without doc_id take part beyond its own text. Other columns are ignored.
+    """
+    found = cut(docs.select("doc_id", "text"), length, gram)
+    return found.select(F.col("__id").alias("doc_id"), "text", *(F.col(f"__{c}").alias(c) for c in ("n_words", "n_removed", "kept")))
 
 
 def dedup_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -357,15 +369,11 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 def keep_unrepeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with repeated passages cut from text; texts that lose nothing stay as they are, others are their kept words, and a text that loses all its words goes.
 
-    Passages are judged as dedup() does, on the input. Null, empty and short texts stay, as do other columns whatever their names; repeated rows are
-    cut alike, each by itself where it has no doc_id; an empty table stays empty.
+    Passages are judged as dedup() does, on the input. Null, empty and short texts stay, as do other columns whatever their names (but for two leading
+    underscores); repeated rows are cut alike, each by itself where it has no doc_id; an empty table stays empty.
     """
-    found = dedup(docs, length, gram).where("n_removed > 0")
-    found = found.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), F.col("kept").alias("__kept"), (F.col("n_removed") == F.col("n_words")).alias("__none"))
-    changed = materialize(found.dropDuplicates(["__id", "__h"]), "changed")
-    same = docs["doc_id"].cast("long").eqNullSafe(changed["__id"]) & (F.xxhash64(docs["text"].cast("string")) == changed["__h"])
-    out = docs.join(changed, same, "left").where("not coalesce(__none, false)")
-    return out.select(*(F.coalesce(F.col("__kept"), docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns))
+    found = cut(docs, length, gram).where("__n_removed = 0 or __n_removed < __n_words")
+    return found.select(*(F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
 
 def strip_reference(docs: DataFrame, reference: list[str], length: int = LENGTH) -> DataFrame:
