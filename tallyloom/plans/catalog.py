@@ -204,17 +204,6 @@ def keyset_diff(spark, sf_dir):
     return compare.key_differences(table(spark, sf_dir, "events"), _altered(spark, sf_dir), ["event_id"])
 
 
-@query(
-    f"""WITH b AS ({_ALTERED}) SELECT event_type, count(*) AS n, count(*) FILTER (e.value IS NULL AND b.value IS NULL) AS both_null, count(*) FILTER (e.value IS NOT DISTINCT FROM b.value AND e.value IS NOT NULL) AS same,
- count(*) FILTER (e.value IS DISTINCT FROM b.value) AS changed FROM events e JOIN b USING (event_id) GROUP BY ALL"""
-)
-def paired_compare(spark, sf_dir):
-    even = table(spark, sf_dir, "events").where("event_id % 2 = 0")
-    kinds = even.select("event_id", "event_type")
-    both = compare.paired(even, _altered(spark, sf_dir), ["event_id"], ["value"]).join(kinds, "event_id")
-    return compare.agreement(both, ["event_type"], "value")
-
-
 _ALL_ALTERED = "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 7 = 0 THEN value + 1 ELSE value END AS value FROM events"
 
 
