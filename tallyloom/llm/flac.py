@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import ids_and_text
+from .runtime import ids_and_text, materialize
 
 FRAME, PARTITION_ORDER, RATE = 4096, 3, 8000
 #: Payloads are padded with zero bytes to a positive multiple of this.
@@ -419,14 +418,16 @@ def features(payload: bytes) -> str:
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """doc_id and media, the FLAC file of a text's payload. Null texts count as empty (UNIT zero bytes)."""
+    """doc_id, n_bytes (of the text, unpadded) and media, the FLAC file of its payload. Null texts count as empty (UNIT zero bytes)."""
 
     def run(batches):
         for b in batches:
-            media = encode([payload_of(t) for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
+            texts = b.column(1).to_pylist()
+            sizes = pa.array([len((t or "").encode("utf-8")) for t in texts], pa.int64())
+            media = pa.array(encode([payload_of(t) for t in texts]), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, media], names=["doc_id", "n_bytes", "media"])
 
-    return ids_and_text(docs).mapInArrow(run, "doc_id long, media binary")
+    return ids_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -446,25 +447,26 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Every row's payload stored as FLAC, read back from the stored bytes, checked and described.
+    """Every row's payload stored as FLAC in the shared folder, read back from the stored table, checked and described.
 
     Null texts count as empty, whose payload is UNIT zero bytes. Equal texts have equal values, repeated rows each have a row, an
-    empty table gives an empty table, other columns are ignored. Long texts are coded in bounded groups of frames.
+    empty table gives an empty table, other columns are ignored. Long texts are coded in bounded groups of frames. The stored table
+    stays until what is around calls discard() or ends its scratch().
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def digests(doc_ids: Iterable, texts: list[str | None]):
-        media = encode([payload_of(t) for t in texts])
-        for doc_id, text, m, p in zip(doc_ids, texts, media, decode(media)):
-            yield (doc_id, len((text or "").encode("utf-8")), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), features(p))
-
     def run(batches):
         for b in batches:
-            rows = list(digests(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            doc_ids, sizes, media = (c.to_pylist() for c in b.columns)
+            rows = [
+                (d, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), features(p))
+                for d, n, m, p in zip(doc_ids, sizes, media, decode(media))
+            ]
             columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return ids_and_text(docs).mapInArrow(
+    stored = materialize(store_media(docs), "media")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(
         run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
