@@ -32,9 +32,9 @@ def write_items(items: DataFrame, path: str, order: list[str]) -> None:
     items.orderBy(*order).coalesce(1).write.mode("errorifexists").json(path)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions of a run's folder with their batch, the file's name; answers that are a number, true or false, or null get a column for each type."""
-    rows = spark.read.schema(PREDICTION_TEXT).json(path).withColumn("batch", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?$", 1))
+def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Predictions with their batch, the name of the file or of the folder of part files; answers that are a number, true or false, or null get a column for each type."""
+    rows = spark.read.schema(PREDICTION_TEXT).json(path).withColumn("batch", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?(?:/[^/]*)?$", 1))
     for c in ("parsed", "truth"):
         rows = rows.withColumn(f"{c}_int", F.col(c).try_cast("bigint")).withColumn(f"{c}_bool", F.when(F.col(c).isin("true", "false"), F.col(c) == "true"))
     return rows.withColumn("rule_values", F.transform_values("rule_values", lambda _, v: v.try_cast("bigint"))).drop("parsed", "truth")
