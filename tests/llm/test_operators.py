@@ -7,6 +7,8 @@ import brute
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyarrow import orc
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyloom.llm import bytepair, flac, langid, packing, quality, secrets, simhash, tokencount, tokenstore
@@ -139,6 +141,35 @@ def test_token_store_round_trip(spark, docs, rows, empty, tmp_path):
     assert tokenstore.token_offsets(spark, path + "-none").count() == 0
 
 
+def _rows_scanned(df):
+    """What the scan gave out, after stripes and row groups were pruned; the filter above it does the rest."""
+    df.collect()
+    plan, todo = df._jdf.queryExecution().executedPlan(), []
+    todo.append(plan)
+    while todo:
+        node = todo.pop()
+        if "FileSourceScan" in node.getClass().getName():
+            return node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
+def test_token_files_are_pruned_by_indexes_and_bloom_filters(spark, tmp_path):
+    path = f"file://{tmp_path}/many"
+    docs = spark.range(0, 40000, 2, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # so little data would be one file
+    try:
+        tokenstore.write_tokens(docs, path, P.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "many").glob("*.orc"))
+    assert len(files) > 1 and sum(orc.ORCFile(str(f)).nrows for f in files) == 20000
+    assert tokenstore.read_tokens(spark, path).rdd.getNumPartitions() > 1
+    there = tokenstore.read_tokens(spark, path, [20000])
+    assert [r.doc_id for r in there.collect()] == [20000] and 0 < _rows_scanned(there) <= 2 * tokenstore.INDEX_ROWS < 20000
+    # odd ids lie within the least and largest of a row group: only Bloom filters tell that they are not there
+    assert sum(_rows_scanned(tokenstore.read_tokens(spark, path, [i])) for i in range(10001, 30001, 2000)) <= tokenstore.INDEX_ROWS
+
+
 def test_language_is_told_from_other_languages(spark):
     words = {"aa": "kala muna sito reva", "bb": "xyrk zqut vorgh brzt"}
     data = [(i, " ".join(words[lang].split()[(i + k) % 4] for k in range(30)), lang) for i in range(80) for lang in ("aa", "bb")]
@@ -229,7 +260,7 @@ def test_packing_pads_little(spark):
     assert padding <= 0.01 * sum(r[1] for r in found)
 
 
-def test_media_digests(docs, rows, empty):
+def test_media_digests(spark, docs, rows, empty):
     by_text = {}
     for r in flac.media_digests(docs).collect():
         t = next(t for d, t in rows if d == r.doc_id)
@@ -238,6 +269,8 @@ def test_media_digests(docs, rows, empty):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert by_text.setdefault(t or "", (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
     assert flac.media_digests(empty).count() == 0
+    stored = spark.read.parquet(spark.conf.get("spark.checkpoint.dir") + "/media-*")
+    assert {hashlib.sha256(r.media).hexdigest() for r in stored.collect()} == {r.media_sha256 for r in flac.media_digests(docs).collect()}
     blocks = flac.pcm_blocks(flac.store_media(docs.where("doc_id = 24"))).orderBy("sample").collect()
     assert b"".join(bytes(b.pcm) for b in blocks).rstrip(b"\0").decode() == TEXTS[24] and [b.sample for b in blocks] == [4096 * i for i in range(len(blocks))]
 
