@@ -466,7 +466,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    stored = materialize(store_media(docs), "media")
+    stored = materialize(store_media(docs), "media", codec="zstd")  # Rice codes leave equal files of equal texts to the table's codec
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(
         run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )

@@ -50,7 +50,7 @@ _WRITTEN: list[DataFrame] = []
 _DEPTH = 0
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy") -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there and lost executors cost nothing.
 
     It stays until discard(), or until the scratch() around ends unless `keep` is set. Spark deletes the shuffle files of the
@@ -58,7 +58,7 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyloom_path = path
