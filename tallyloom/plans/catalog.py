@@ -523,4 +523,4 @@ def permuted_tasks(spark, sf_dir):
 
 
 # further queries register themselves
-from tallyloom.plans import pools, reports  # noqa: E402, F401
+from tallyloom.plans import pools, reports, studies  # noqa: E402, F401
