@@ -164,3 +164,99 @@ def similar_components(rows, width=5, similarity=0.8):
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), d), d)
     return sorted((d, least[root(i)]) for i, (d, _) in enumerate(rows))
+
+
+def line_dedup(rows, least=10):
+    """rows of (doc_id, text) with distinct ids or the same one for equal documents."""
+    tidy = lambda x: x.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+    first = {}
+    for doc_id, text in rows:
+        for key in map(tidy, (text or "").split("\n")):
+            if doc_id is not None:
+                first[key] = min(first.get(key, doc_id), doc_id)
+    out = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if doc_id is None or len(tidy(x)) < least or first[tidy(x)] == doc_id]
+        out.append((doc_id, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def looped(w, doc_id):
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    g = h // 10
+    a = g % len(w)
+    p = 1 + (len(w) - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+
+
+def smallest_period(w):
+    return next(q for q in range(1, len(w) + 1) if all(w[i] == w[i + q] for i in range(len(w) - q)))
+
+
+def periodic_runs(w, least=6, times=4):
+    """All (start, length, period), every stretch of every period looked at."""
+    out = set()
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, times * q) and smallest_period(w[i : j + q]) == q:
+                out.add((i, j + q - i, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_digests(rows):
+    out = []
+    for doc_id, text in rows:
+        w = looped(words(text), doc_id)
+        runs = periodic_runs(w)
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+        listed, kept = "".join(f"{s},{n},{q}\n" for s, n, q in runs), " ".join(x for i, x in enumerate(w) if i not in gone)
+        longest = (best[0], best[1], best[2], 1000 * best[1] // best[2]) if best else (None,) * 4
+        out.append((doc_id, len(runs), *longest, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def row_matches(rows, most_gap=30 * 60 * 1_000_000):
+    """rows of (client, ts, id, value, kind), ts in microseconds, distinct; every start tried by backtracking in the order of a greedy regular expression."""
+    by_client, out = defaultdict(list), []
+    for client, ts, click, value, kind in set(rows):
+        if client is not None and ts is not None:
+            by_client[client].append((ts, click, None if value is None else int(np.floor(100 * value + 0.5)), kind))
+    for client, some in by_client.items():
+        some.sort(key=lambda r: (r[0], r[1]))
+        near = lambda i: some[i][0] - some[i - 1][0] <= most_gap
+
+        def fits(letter, i, a):
+            if i >= len(some) or some[i][2] is None or not near(i):
+                return False
+            if letter == "P":
+                return some[i][3] == "click" and some[i][2] >= some[a][2]
+            if some[i][3] in (None, "error") or some[i - 1][2] is None:
+                return False
+            return some[i][2] < some[i - 1][2] if letter == "D" else some[i][2] > some[i - 1][2]
+
+        def body(i, a, state):
+            """Labels of the first match from row i on, or None. state: what came last."""
+            for letter, to in {"A": [("D", "D")], "D": [("D", "D"), ("U", "U")], "U": [("U", "U"), ("D", "D")]}[state]:
+                if fits(letter, i, a) and (rest := body(i + 1, a, to)) is not None:
+                    return letter + rest
+            if state != "U":
+                return None
+            return "P" if fits("P", i, a) else ""
+
+        n = 0
+        for a in range(len(some)):
+            if some[a][2] is None or (labels := body(a + 1, a, "A")) is None:
+                continue
+            n += 1
+            taken = some[a : a + 1 + len(labels)]
+            out.append((client, n, taken[0][1], taken[-1][1], len(taken), sum(r[2] for r in taken), hashlib.sha256(("A" + labels).encode()).hexdigest()))
+    return sorted(out)
