@@ -1,9 +1,10 @@
 """Substring dedup by suffix automata of reference shards.
 
 A window is a run of LENGTH words. Of each window the k-gram with the least hash is its anchor, so equal windows have equal
-anchors at equal places. Anchors of two documents and more lead to the only passages that can repeat. Equal passages of an anchor are merged by 64 bits of their words (two
-wordings of one anchor are taken for equal with a probability of 2 ** -64), and the shard of an anchor holds one passage of each wording, CROWDED at most. These stream in document order against the automaton of the passages before them, and a
-window repeats where the matching statistics reach LENGTH.
+anchors at equal places. Anchors of two documents and more lead to the only passages that can repeat. Equal passages of an anchor are merged by a 128-bit digest of their bytes (BLAKE2b,
+for which no two texts of one digest are known), and the shard of an anchor holds one passage of each wording. These stream in document order against the automaton of the passages before them, and a
+window repeats where the matching statistics reach LENGTH. An anchor with more than CROWDED wordings is no shard: its windows are told apart one by one, by digests of the same kind. The sums
+that find anchors need not be free of collisions: equal windows always have equal anchors, and what shares one by chance is told apart by its words.
 
 A shard automaton is not broadcast: automata of the whole corpus have no size bound, and streaming all documents past all shards costs the square of the
 corpus. Shards and passages meet by their anchor instead. A bounded reference can be broadcast: see strip_reference.
@@ -29,12 +30,11 @@ LENGTH, GRAM = 20, 6
 CROWDED = 1024
 #: Rows of a batch that a task gives back.
 ROWS = 4096
-#: Words of a broadcast automaton, and bytes of a text that are hashed at a time.
+#: Words of a broadcast automaton, and windows of a text that are looked through at a time.
 SHARD_WORDS, BLOCK = 200_000, 1 << 22
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_WORD_BASE, _GRAM_BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_GRAM_BASE = np.uint64(0xA0761D6478BD642F)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def _inverse(base: np.uint64) -> np.uint64:
 
 
 class _Rolling:
-    """Hashes of all runs of values by sums of value * base ** place, modulo 2 ** 64."""
+    """Sums of value * base ** place, modulo 2 ** 64, of all runs of values: equal for equal runs, and sometimes for others."""
 
     def __init__(self, base: np.uint64):
         self.base, self.up, self.down = base, _powers(base, 1 << 16), _powers(_inverse(base), 1 << 16)
@@ -69,7 +69,7 @@ class _Rolling:
         return _mixed((total[ends] - total[starts]) * down[starts])
 
 
-_WORDS, _GRAMS = _Rolling(_WORD_BASE), _Rolling(_GRAM_BASE)
+_GRAMS = _Rolling(_GRAM_BASE)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -79,14 +79,12 @@ def split_words(text: str | None) -> list[bytes]:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64 bits for each word."""
-    out = []
-    for at in range(0, len(words), BLOCK // 16):
-        some = words[at : at + BLOCK // 16]
-        sizes = np.fromiter(map(len, some), np.int64, len(some))
-        ends = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(some), np.uint8)
-        out.append(_WORDS.runs(_BYTES[data], ends - sizes, ends) + sizes.astype(np.uint64) * _ODD)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def digest_of(data: bytes | memoryview) -> bytes:
+    """128 bits that stand for a passage or a window."""
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def windows_and_anchors(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,60 +100,81 @@ def windows_and_anchors(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarr
     return place, g[place]
 
 
-SEEN = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("at", pa.int32()), ("windows", pa.int32())])
+class _Words:
+    """A text's words joined by one space, and where they begin."""
 
+    def __init__(self, text: str | None):
+        self.words = split_words(text)
+        self.data = memoryview(b" ".join(self.words))
+        self.starts = np.cumsum([0, *(len(w) + 1 for w in self.words)])
 
-def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(anchor, digest, doc_id, h, at, windows) of rows of doc_id, text, h: the passages around anchors that their windows cover, once for each row and wording.
+    def part(self, at: int, n: int) -> memoryview:
+        """Words at ... at + n."""
+        return self.data[self.starts[at] : self.starts[at + n] - 1]
+
+
+SEEN = pa.schema([("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("at", pa.int32()), ("windows", pa.int32())])
+SPREAD = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
 
-    digest has 64 bits of the passage's words. One row more with a null anchor says that a text has an anchor at two places. Rows without doc_id and texts
-    below `length` words have none.
-    """
 
-    def found(text: str | None) -> tuple[list[np.ndarray], bool]:
-        h = word_hashes(split_words(text))
-        place, a = windows_and_anchors(h, length, gram)
-        if not len(a):
-            return [], False
-        cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
-        first, windows = cut[:-1], np.diff(cut)
-        digest = _GRAMS.runs(h, first, first + windows + (length - 1))
-        anchor = a[first]
-        _, once = np.unique(_mixed(digest ^ anchor), return_index=True)
-        return [anchor[once].view(np.int64), digest[once].view(np.int64), first[once], windows[once]], len(np.unique(anchor)) < len(anchor)
+def _places(words: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, windows) of the stretches of windows that share an anchor place."""
+    place, a = windows_and_anchors(word_hashes(words), length, gram)
+    if not len(a):
+        return a, place, place
+    cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
+    return a[cut[:-1]], cut[:-1], np.diff(cut)
+
+
+def anchor_spread(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(anchor, doc_id) of rows of doc_id, text: the anchors of each text, once each. One row more with a null anchor says that a text has an anchor at two places."""
 
     def run(batches):
         release()
         for b in batches:
-            parts, twice = [], []
-            for doc_id, text, h in zip(*(c.to_pylist() for c in b.columns)):
+            found, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            again: list[int] = []
+            for doc_id, text in zip(*(c.to_pylist() for c in b.columns)):
                 if doc_id is None:
                     continue
-                columns, again = found(text)
-                if columns:
-                    n = len(columns[0])
-                    parts.append([*columns[:2], np.full(n, doc_id, np.int64), np.full(n, h, np.int32), *(c.astype(np.int32) for c in columns[2:])])
-                if again:
-                    twice.append((None, None, doc_id, h, None, None))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=SEEN)
-            if twice:
-                yield _batch(twice, SEEN)
+                anchor = _places(split_words(text), length, gram)[0]
+                once = np.unique(anchor)
+                found.append(once.view(np.int64))
+                ids.append(np.full(len(once), doc_id, np.int64))
+                if len(once) < len(anchor):
+                    again.append(doc_id)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], schema=SPREAD)
+            if again:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.array(again, pa.int64())], schema=SPREAD)
 
-    return docs.select("doc_id", "text", "h").mapInArrow(run, "anchor long, digest long, doc_id long, h int, at int, windows int")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
 
 
-class _Words:
-    """A text's words joined by one space, and where they begin."""
+def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(anchor, d1, d2, doc_id, h, at, windows) of rows of doc_id, text, h: the passages around anchors that their windows cover, once for each row and wording.
 
-    def __init__(self, text: str):
-        self.words = split_words(text)
-        self.data = memoryview(b" ".join(self.words))
-        self.starts = np.cumsum([0, *(len(w) + 1 for w in self.words)])
+    d1 and d2 are the passage's digest. Rows without doc_id and texts below `length` words have none.
+    """
 
-    def part(self, at: int, n: int) -> memoryview:
-        """Words at ... at + n."""
-        return self.data[self.starts[at] : self.starts[at + n] - 1]
+    def run(batches):
+        release()
+        for b in batches:
+            parts = []
+            for doc_id, text, h in zip(*(c.to_pylist() for c in b.columns)):
+                w = _Words(text)
+                if doc_id is None or len(w.words) < length:
+                    continue
+                anchor, first, windows = _places(w.words, length, gram)
+                starts, ends = w.starts[first].tolist(), (w.starts[first + windows + (length - 1)] - 1).tolist()
+                digests = [digest_of(w.data[x:y]) for x, y in zip(starts, ends)]
+                once = sorted({(k, d): i for i, (k, d) in reversed(list(enumerate(zip(anchor.tolist(), digests))))}.values())
+                d = np.frombuffer(b"".join(digests[i] for i in once), "<i8").reshape(-1, 2)
+                n = len(once)
+                parts.append([anchor[once].view(np.int64), d[:, 0], d[:, 1], np.full(n, doc_id, np.int64), np.full(n, h, np.int32), first[once].astype(np.int32), windows[once].astype(np.int32)])
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=SEEN)
+
+    return docs.select("doc_id", "text", "h").mapInArrow(run, "anchor long, d1 long, d2 long, doc_id long, h int, at int, windows int")
 
 
 PASSAGE = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("at", pa.int32()), ("passage", pa.string())])
@@ -195,7 +214,7 @@ def windows_of(wanted: DataFrame, length: int) -> DataFrame:
             for doc_id, h, text, places in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in PLACED)):
                 w = _Words(text)
                 for at in sorted({p["at"] + k for p in places if p["h"] == h for k in range(p["windows"])}):
-                    rows.append((xxhash.xxh3_128_digest(w.part(at, length)), doc_id, h, at))
+                    rows.append((digest_of(w.part(at, length)), doc_id, h, at))
                 if len(rows) >= ROWS:
                     yield _batch(rows, WINDOW)
                     rows = []
@@ -269,18 +288,24 @@ def compare(found: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, h int, at int, windows int")
 
 
-def repeats(seen: DataFrame, placed: DataFrame, length: int) -> DataFrame:
-    """(doc_id, h, at, windows): all windows of rows that occur in smaller doc_ids; seen has the passages of shared anchors, placed the texts.
+def sorted_out(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From the passages of shared anchors: copies (doc_id, h, at, windows), which have a smaller doc_id of the same wording, and the first passages of anchors with several wordings.
 
-    Equal passages of an anchor are merged before anything is gathered: those after the first are repeats as a whole. Where an anchor has several
-    wordings, the first passage of each goes into the anchor's shard. A shard that would hold more than CROWDED is dealt out by single windows, which
-    are merged in the same way as passages.
+    Equal passages of an anchor are merged before anything is gathered: those after the first are repeats as a whole.
     """
-    first = seen.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first"))
+    first = seen.groupBy("anchor", "d1", "d2").agg(F.min("doc_id").alias("first"))
     first = first.join(first.groupBy("anchor").agg(F.count("*").alias("n")), "anchor")
-    whole = seen.join(first, ["anchor", "digest"])
-    copies = whole.where("doc_id > first").select("doc_id", "h", "at", "windows")
-    listed = whole.where("doc_id = first and n > 1").select("doc_id", "h", "anchor", "at", "windows", (F.col("n") > CROWDED).alias("split"))
+    marked = materialize(seen.join(first, ["anchor", "d1", "d2"]).where("doc_id > first or n > 1").select("doc_id", "h", "at", "windows", F.when(F.col("doc_id") == F.col("first"), F.col("anchor")).alias("anchor"), "n"), "marked")
+    return marked.where("anchor is null").select("doc_id", "h", "at", "windows"), marked.where("anchor is not null")
+
+
+def repeats(copies: DataFrame, listed: DataFrame, placed: DataFrame, length: int) -> DataFrame:
+    """(doc_id, h, at, windows): all windows of rows that occur in smaller doc_ids; placed has the texts. See sorted_out().
+
+    Where an anchor has several wordings, the first passage of each goes into the anchor's shard. A shard that would hold more than CROWDED is dealt out by single windows, which
+    are merged in the same way as passages.
+    """
+    listed = listed.select("doc_id", "h", "anchor", "at", "windows", (F.col("n") > CROWDED).alias("split"))
 
     def with_text(some: DataFrame) -> DataFrame:
         places = some.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("h", "anchor", "at", "windows")).alias("__places"))
@@ -306,7 +331,7 @@ def _own_repeats(words: list[bytes], length: int, gone: np.ndarray) -> None:
     maybe[order[1:][same]] = maybe[order[:-1][same]] = True
     seen: set[bytes] = set()
     for i in np.flatnonzero(maybe).tolist():
-        digest = hashlib.blake2b(b" ".join(words[i : i + length]), digest_size=16).digest()
+        digest = digest_of(b" ".join(words[i : i + length]))
         if digest in seen:
             gone[i : i + length] = True
         seen.add(digest)
@@ -318,13 +343,15 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     rows = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns), F.col("doc_id").cast("long").alias("__id"))
     ids_repeat = not rows.where("__id is not null").groupBy("__id").count().where("count > 1").isEmpty()
     rows = rows.withColumn("__h", F.hash("text") if ids_repeat else F.lit(0))
-    everything = materialize(anchors(rows.select(F.col("__id").alias("doc_id"), "text", F.col("__h").alias("h")), length, gram), "anchors")
-    often = everything.where("anchor is not null").groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    seen = materialize(everything.join(often, "anchor"), "shared")
-    twice = materialize(everything.where("anchor is null").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__twice")).distinct(), "twice")
-    discard(everything)
+    named = rows.select(F.col("__id").alias("doc_id"), "text", F.col("__h").alias("h"))
+    spread = anchor_spread(named, length, gram).groupBy("anchor", F.when(F.col("anchor").isNull(), F.col("doc_id")).alias("twice")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    spread = materialize(spread.where("anchor is null or lo < hi").select("anchor", "twice"), "spread")
+    seen = materialize(anchors(named, length, gram).join(spread.where("anchor is not null").select("anchor"), "anchor"), "shared")
+    copies, listed = sorted_out(seen)
+    discard(seen)
+    twice = spread.where("anchor is null").select(F.col("twice").alias("__id"), F.lit(True).alias("__twice"))
     placed = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "__id")
-    spans = repeats(seen, placed, length).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("h", "at", "windows")).alias("__spans"))
+    spans = repeats(copies, listed, placed, length).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("h", "at", "windows")).alias("__spans"))
     added = T.StructType().add("__n_words", "long").add("__n_removed", "long").add("__kept", "string")
 
     def run(batches):
