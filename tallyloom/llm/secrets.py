@@ -24,7 +24,6 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 #: Strings whose windows the entropy scan looks at.
 CANDIDATE = r"[A-Za-z0-9+/_-]{24,}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
 #: Within a candidate of neither class below, runs of digits and letters of one case are looked at by themselves.
 RUN = r"(?<![A-Za-z0-9])(?:[a-z0-9]{24,}|[A-Z0-9]{24,})(?![A-Za-z0-9])"
@@ -76,32 +75,29 @@ def _spans(found: Column, kind: str, keep) -> Column:
 
 
 def _hot_windows(s: Column, most: Column) -> Column:
-    """struct(first, last): starts of the first and last window whose sum of c * log2(c) is at most `most`; -1 if none."""
+    """struct(first, last): starts of the first and last window whose sum of c * log2(c) is at most `most`; -1 if none.
+
+    The sum follows the window: the character that leaves and the one that comes change it by their own counts, which are taken from the window's other characters.
+    """
     table = F.lit([0] + [round(c * math.log2(c) * SCALE) for c in range(1, WINDOW + 1)])
-    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    zero = F.array_repeat(F.lit(0), len(ALPHABET))
-    start = F.struct(zero.alias("n"), F.lit(0).cast("bigint").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("i"))
+    codes = F.transform(F.split(s, ""), lambda c: F.ascii(c))
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
 
     def slide(all_codes: Column) -> Column:
-        def step(a: Column, new: Column) -> Column:
-            old = F.coalesce(F.get(all_codes, a["i"] - WINDOW), F.lit(-1))
-            after = F.transform(a["n"], lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-            c_new, c_old = F.get(a["n"], new), F.coalesce(F.get(a["n"], old), F.lit(0))
-            change = F.when(new == old, 0).otherwise(
-                F.get(table, c_new + 1) - F.get(table, c_new) + F.when(old >= 0, F.get(table, F.greatest(c_old - 1, F.lit(0))) - F.get(table, c_old)).otherwise(0)
-            )
-            total = a["sum"] + change
-            hot = (a["i"] >= WINDOW - 1) & (total <= most)
-            at = a["i"] - (WINDOW - 1)
-            return F.struct(
-                after.alias("n"),
-                total.cast("bigint").alias("sum"),
-                F.when(hot & (a["first"] < 0), at).otherwise(a["first"]).alias("first"),
-                F.when(hot, at).otherwise(a["last"]).alias("last"),
-                (a["i"] + 1).alias("i"),
-            )
-
-        return F.aggregate(all_codes, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+        def step(a: Column, i: Column) -> Column:
+            others = F.slice(all_codes, F.greatest(i - (WINDOW - 2), F.lit(1)), F.least(i, F.lit(WINDOW - 1)))  # those of both windows
+            same = lambda x: F.size(F.filter(others, lambda c: c == x))
+            gain = let(same(F.get(all_codes, i)), lambda n: F.get(table, n + 1) - F.get(table, n))
+            loss = F.when(i >= WINDOW, let(same(F.get(all_codes, i - WINDOW)), lambda n: F.get(table, n + 1) - F.get(table, n))).otherwise(0)
+
+            def moved(total: Column) -> Column:
+                hot, at = (i >= WINDOW - 1) & (total <= most), i - (WINDOW - 1)
+                return F.struct(total.cast("bigint").alias("sum"), F.when(hot & (a["first"] < 0), at).otherwise(a["first"]).alias("first"), F.when(hot, at).otherwise(a["last"]).alias("last"))
+
+            return let(a["sum"] + gain - loss, moved)
+
+        places = F.sequence(F.lit(0), F.size(all_codes) - 1)
+        return F.aggregate(places, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
     return let(codes, slide)
 
