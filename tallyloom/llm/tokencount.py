@@ -43,7 +43,9 @@ class PrefixCounter:
         self.reach: dict[bytes, int] = {}  # length of the longest token with the same last three bytes
         for t in self.tokens:
             self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.nested = any(x != y and x in y for x in special for y in special)
         self.pattern = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.white = re.compile(f"[{WHITE}]+")
         self.fits = Memo(lambda pair: merge(pair[0] + pair[1], self.ranks) == list(pair), 100_000)
@@ -78,12 +80,24 @@ class PrefixCounter:
         return sum(sum(map(self.total.__getitem__, some)) for some in blocks(CHUNK, text))
 
     def prefix_counts(self, text: str) -> list[int]:
-        """Tokens of text[:0], text[:1] ... text, exact for each of these texts; the text has no special strings.
+        """Tokens of text[:0], text[:1] ... text, exact for each of these texts.
 
-        A run of white space is one pre-token wherever a prefix ends in it, so its table is made once. Time grows with the text.
+        A special string counts as one token once it is whole; until then, what there is of it is plain text after what comes before. Time grows with the text.
         """
-        if self.special.search(text):
-            raise ValueError("prefixes of special strings are not defined")
+        out, at = [0], 0
+        for m in self.special.finditer(text):
+            before = out[-1]
+            table = self._plain_prefixes(text[at : m.end() - 1])
+            out += [before + n for n in table[1:]]
+            if self.nested:
+                out[m.start() + 1 :] = [self.count(text[:k]) for k in range(m.start() + 1, m.end())]
+            out.append(before + table[m.start() - at] + 1)
+            at = m.end()
+        before = out[-1]
+        return out + [before + n for n in self._plain_prefixes(text[at:])[1:]]
+
+    def _plain_prefixes(self, text: str) -> list[int]:
+        """As prefix_counts(), of a text that is taken as plain: a run of white space is one pre-token wherever a prefix ends in it, so its table is made once."""
         out, before, at, start, table = [0], 0, 0, 0, []
         for chunk in (c for some in blocks(CHUNK, text) for c in some):
             white = len(chunk) if self.white.match(chunk[-1]) else int(chunk[0] == " ")
@@ -140,13 +154,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and counts (array of int): the token count of every character prefix, for budgets without re-encoding.
 
-    Null texts have the single count 0; a text with a special string has null, as its prefixes are not defined.
+    Null texts have the single count 0; special strings count as the library counts them in each prefix.
     """
 
     def run(batches):
         c = counter(path)
         for b in batches:
-            out = [None if t and c.special.search(t) else c.prefix_counts(t or "") for t in b.column(1).to_pylist()]
+            out = [c.prefix_counts(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "counts"])
 
     return ids_and_text(docs).mapInArrow(run, "doc_id long, counts array<int>")

@@ -83,18 +83,17 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_drop_near_copies_keeps_one_of_each(docs, rows):
-    kept = simhash.drop_near_copies(docs, width=4)
-    ids = sorted(r.doc_id for r in kept.select("doc_id").collect())
-    assert ids == sorted({c for _, _, c in brute.simhash(rows)}) and kept.columns == docs.columns
-
-
 def test_quality_counts_match_brute_force(docs, rows, empty):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     assert got(quality.judge(docs).select("doc_id", *names)) == sorted(((d, *brute.quality_counts(t)) for d, t in rows), key=str)
     assert quality.judge(empty).count() == 0
 
 
+def test_kept_documents_are_those_of_a_plain_estimate(docs, rows):
+    kept = brute.quality_kept([t for _, t in rows])
+    assert got(quality.judge(docs).select("doc_id", "kept")) == sorted(((d, k) for (d, _), k in zip(rows, kept)), key=str) and any(kept) and not all(kept)
+
+
 def test_quality_posteriors_follow_the_votes(docs):
     for r in quality.judge(docs).collect():
         assert 0 <= r.quality <= 1 and r.kept == (not r.base_failed and r.quality >= 0.5)
@@ -282,10 +281,18 @@ def test_token_counts(docs, rows, empty):
     assert got(tokencount.token_counts(docs, file)) == sorted(want, key=str)
     assert tokencount.token_counts(empty, file).count() == 0
     table = {r.doc_id: r.counts for r in tokencount.prefix_tables(docs.where("doc_id in (0, 6, 23)"), file).collect()}
-    assert table[0] == [0] and table[23] is None
+    assert table[0] == [0] and table[23] == [len(lib.encode(TEXTS[23][:i], add_special_tokens=False).ids) for i in range(len(TEXTS[23]) + 1)]
     assert table[6] == [len(lib.encode(PROSE[:i], add_special_tokens=False).ids) for i in range(len(PROSE) + 1)]
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|> x", "a <|endoftext|><|endoftext|>  \n<|endoftex", "x  <|endoftext|>", "<|<|endoftext|>|>é's", "no  special\n\n\tone's"])
+def test_prefixes_of_texts_with_special_strings(text):
+    file = P.path("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(file), tokencount.PrefixCounter(file)
+    assert own.prefix_counts(text) == [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+    assert own.fit(text, 2) == max(i for i in range(len(text) + 1) if len(lib.encode(text[:i], add_special_tokens=False).ids) <= 2)
+
+
 def test_secrets_match_brute_force(docs, rows, empty):
     found = got(secrets.secret_digests(docs))
     assert [x[:5] for x in found] == [x[:5] for x in sorted(((d, *brute.secrets(t)) for d, t in rows), key=str)]
