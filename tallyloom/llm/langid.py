@@ -241,10 +241,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those that op6 calls undetermined: null, empty, without a letter, or all where nothing was learned. A secret's digits cost many bits and are no reason to go.
+    """docs without those that op6 calls undetermined: null, empty, without a letter. A secret's digits cost many bits and are no reason to go.
 
-    Every other row stays as it is, repeated rows and columns named like op6's own included; an empty table stays empty.
+    Every other row stays as it is, repeated rows and columns named like op6's own included; an empty table stays empty. Where nothing could be learned (no labels, or every labelled
+    text beyond the sample's length), no document can be told apart and all stay.
     """
     model = learn(docs.select("doc_id", "text", "lang").where(~held_out()))
+    if not model.languages:
+        return docs
     own = ("__lang_pred", "__score", "__bits")
     return predict(docs, model, names=own).where(F.col(own[0]) != UNDETERMINED).select(*docs.columns)

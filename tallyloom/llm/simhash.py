@@ -148,7 +148,7 @@ def _crowded_links(crowd: DataFrame, distance: int) -> DataFrame:
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     points = crowd.select("fp", "rep", F.explode(F.transform(F.lit(masks), lambda m: m.bitwiseXOR(F.col("fp")))).alias("point"))
     near = points.groupBy("point").agg(F.collect_list(F.struct("fp", "rep")).alias("all")).where("size(all) > 1")
-    pairs = near.select(F.explode("all").alias("a"), F.element_at("all", 1).alias("b")) if distance % 2 == 0 else near.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    pairs = near.select(F.explode("all").alias("a"), F.array_min("all").alias("b")) if distance % 2 == 0 else near.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
     return pairs.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance).where("a.rep <> b.rep").select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct()
 
 
@@ -174,15 +174,3 @@ def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4, seed:
     classes = components(links(reps, distance, extra))
     named = reps.join(classes, reps.rep == classes.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, width: int = 5, distance: int = 4, seed: int = 42, extra: int = 2) -> DataFrame:
-    """docs with one document of each component: that of its smallest doc_id. Rows without a doc_id stay."""
-    found = simhash_components(docs, width, distance, seed, extra)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)

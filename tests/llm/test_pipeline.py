@@ -39,6 +39,15 @@ def test_near_copies_match_brute_force(spark, monkeypatch, crowded):
     assert simwide.similar_components(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_stay_or_go_together(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    near, other = " ".join(edited(rng, words, 2)), " ".join(f"o{i}" for i in range(60))
+    rows = [(1, " ".join(words), "x"), (5, near, "x"), (5, other, "x"), (7, "alone " * 9, "b"), (7, "alone " * 9, "a"), (7, "apart", "c"), (None, near, "n"), (None, near, "n")]
+    kept = simwide.drop_similar(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[4], rows[5], rows[6], rows[7]], key=str)
+
+
 def test_blocks_find_every_similar_pair(monkeypatch):
     monkeypatch.setattr(simwide, "COLUMNS", 64)
     rng = np.random.default_rng(2)
@@ -71,6 +80,11 @@ def test_random_keys_of_one_case_and_long_keys_with_hex(spark):
     assert masked == ["key [SECRET] end", "key [SECRET] end", "key tok_[SECRET] end", "key [SECRET] end", texts[4], texts[5]]
 
 
+def test_all_stay_where_nothing_is_learned(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, None, "aa"), (3, "1 2", None)], "doc_id long, text string, lang string")
+    assert langid.keep_identified(df).count() == 3
+
+
 def test_copies_hold_one_place_of_the_sample(spark):
     df = spark.createDataFrame([(t, "aa") for t in ("aaaa", "bbbb", "cccc") for _ in range(5)], "text string, lang string")
     grams, *_ = langid.learn(df, sample_docs=2).trees[0].levels[0]
