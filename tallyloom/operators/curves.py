@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import stats
+from tallyloom.functions.bind import let
 
 MIXED, POLARITIES = "mixed", ("gt", "lt")
 
@@ -36,16 +37,17 @@ def kinds_by_scope(crossings: DataFrame, kinds: Sequence[str]) -> DataFrame:
 def sides_without_near_ties(rows: DataFrame, keys: Sequence[str], theta: str, low: float, high: float, gap: str, margin: float, correct: Column) -> DataFrame:
     """(keys, side, n, n_near_tie, n_correct, correct_rate) of answers at thetas up to `low` and from `high` on.
 
-    An answer whose gap is within the margin, bounds included, is near a tie; correctness is of the others, and null where none is left. A null gap is an error.
+    An answer whose gap is within the margin, bounds included, is near a tie; correctness is of the others, and null where none is left. A null gap, or a side without any answer, is an error.
     """
     side = F.when(F.col(theta) <= low, "low").when(F.col(theta) >= high, "high")
     known = F.when(F.col(gap).isNull() | F.isnan(gap), F.raise_error(F.lit("an answer has no gap")).cast("double")).otherwise(F.col(gap))
-    far = rows.select(*keys, side.alias("side"), (F.abs(known) <= margin).alias("__near"), correct.alias("__ok")).where("side is not null")
-    left = F.count_if(~F.col("__near"))
-    hits = F.count_if(~F.col("__near") & F.col("__ok"))
-    return far.groupBy(*keys, "side").agg(
-        F.count("*").alias("n"), F.count_if("__near").alias("n_near_tie"), F.when(left > 0, hits).alias("n_correct"), F.try_divide(hits, left).alias("correct_rate")
-    )
+    far = rows.select(*keys, side.alias("__side"), (F.abs(known) <= margin).alias("__near"), correct.alias("__ok"))
+    on = lambda s: F.col("__side") == s
+    counts = lambda s: (F.count_if(on(s)).alias("n"), F.count_if(on(s) & F.col("__near")).alias("n_near_tie"), F.count_if(on(s) & ~F.col("__near") & F.col("__ok")).alias("hits"))
+    both = far.groupBy(*keys).agg(F.array(*(F.struct(F.lit(s).alias("side"), *counts(s)) for s in ("low", "high"))).alias("__both")).select(*keys, F.inline("__both"))
+    left = F.col("n") - F.col("n_near_tie")
+    n = F.when(F.col("n") == 0, F.raise_error(F.concat(F.lit("no answer on the side "), F.col("side"))).cast("long")).otherwise(F.col("n"))
+    return both.select(*keys, "side", n.alias("n"), "n_near_tie", F.when(left > 0, F.col("hits")).alias("n_correct"), F.try_divide("hits", left).alias("correct_rate"))
 
 
 def power_limits(points: DataFrame, keys: Sequence[str], axis: str, power: str, target: float, descending: bool = False) -> DataFrame:
@@ -81,7 +83,42 @@ def marginal_rate(eta: Column, variance: Column, nodes: int) -> Column:
     x, w = np.polynomial.hermite.hermgauss(nodes)
     spread = F.when(variance < 0, F.raise_error(F.lit("a variance is below zero")).cast("double")).otherwise(F.sqrt(2 * variance))
     grid = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b) / math.sqrt(math.pi)).alias("w")) for a, b in zip(x, w)))
-    return F.aggregate(grid, F.lit(0.0), lambda s, g: s + g.w / (1 + F.exp(-(eta + spread * g.x))))
+    return let(F.struct(eta.alias("eta"), spread.alias("spread")), lambda v: F.aggregate(grid, F.lit(0.0), lambda s, g: s + g.w / (1 + F.exp(-(v.eta + v.spread * g.x)))))
+
+
+def solve_level(target: Column, variance: Column, nodes: int, low: float = -40.0, high: float = 40.0, steps: int = 70) -> Column:
+    """The eta whose marginal_rate() is the target, by bisection between two bounds; the rate grows with eta, so there is one at most.
+
+    An error: a target that is not between 0 and 1, or a bracket at whose ends the rate is on the same side of the target. Null where target or variance is.
+    """
+    rate = lambda eta, v: marginal_rate(eta, v.variance, nodes) - v.target
+    between = lambda a, b: F.struct(a.cast("double").alias("low"), b.cast("double").alias("high"))
+
+    def halve(v: Column):
+        def step(s: Column, _: Column) -> Column:
+            return let((s.low + s.high) / 2, lambda mid: F.when(rate(mid, v) < 0, between(mid, s.high)).otherwise(between(s.low, mid)))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), between(F.lit(low), F.lit(high)), step, lambda s: (s.low + s.high) / 2)
+
+    fail = lambda text: F.raise_error(F.lit(text)).cast("double")
+    outside = lambda v: (v.target <= 0) | (v.target >= 1)
+    apart = lambda v: (rate(F.lit(low), v) < 0) & (rate(F.lit(high), v) > 0)
+    solved = lambda v: F.when(v.target.isNull() | v.variance.isNull(), F.lit(None).cast("double")).when(outside(v), fail("a rate must be between 0 and 1")).when(apart(v), halve(v)).otherwise(fail("no eta in the bracket has the rate"))
+    return let(F.struct(target.cast("double").alias("target"), variance.cast("double").alias("variance")), solved)
+
+
+def solve_null_cells(cells: DataFrame, keys: Sequence[str], task: str, coverage: str, ceiling, reference, eta: str, variance: str, nodes: int) -> DataFrame:
+    """(keys, task, coverage, eta, solved): the eta of every cell but those of the ceiling task and of the reference coverage, such that its marginal rate differs from its task's reference cell by as
+    much as the ceiling task's does: no interaction on the scale of probability. A task or coverage without its reference cell is an error."""
+    rates = cells.withColumn("__r", marginal_rate(F.col(eta), F.col(variance), nodes))
+    base = rates.where(F.col(coverage) == reference).select(*keys, task, F.col("__r").alias("__base"))
+    top = rates.where(F.col(task) == ceiling).select(*keys, coverage, F.col("__r").alias("__top"))
+    top_base = top.where(F.col(coverage) == reference).select(*keys, F.col("__top").alias("__top_base"))
+    rest = rates.where((F.col(task) != ceiling) & (F.col(coverage) != reference))
+    rest = rest.join(base, [*keys, task], "left").join(top, [*keys, coverage], "left")
+    rest = rest.join(top_base, list(keys), "left") if keys else rest.crossJoin(top_base)  # a single row
+    target = F.coalesce(F.col("__base") + F.col("__top") - F.col("__top_base"), F.raise_error(F.lit("a reference cell is missing")).cast("double"))
+    return rest.select(*keys, task, coverage, eta, solve_level(target, F.col(variance), nodes).alias("solved"))
 
 
 def closed_gates(df: DataFrame, count: str, n: str, level: float, above: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import rules
 
-from .compare import paired, require_unique
+from .compare import paired
 from .scoring import CLASSES, classify
 
 MAIN_COVERAGES = ("id", "interp", "extrap_magnitude")
@@ -127,9 +127,11 @@ def probability_mass(df: DataFrame, keys: Sequence[str], yes: str, no: str) -> D
 
 
 def far_correct(df: DataFrame, keys: Sequence[str], theta: str, low: float, high: float, correct: Column) -> DataFrame:
-    """Correctness at thetas up to `low` and from `high` on, apart; null where there is none."""
-    side = lambda c: F.avg(F.when(c, correct.cast("int")))
-    return df.groupBy(*keys).agg(side(F.col(theta) <= low).alias("low"), side(F.col(theta) >= high).alias("high"))
+    """Correct answers at thetas up to `low` and from `high` on, apart: low_n, low_correct, low (the rate), and the same for high. A side without an answer is an error."""
+    sides = {"low": F.col(theta) <= low, "high": F.col(theta) >= high}
+    counts = df.groupBy(*keys).agg(*(c for k, on in sides.items() for c in (F.count_if(on).alias(f"{k}_n"), F.count_if(on & correct).alias(f"{k}_correct"))))
+    rate = lambda k: F.when(F.col(f"{k}_n") == 0, F.raise_error(F.lit(f"no answer on the {k} side")).cast("double")).otherwise(F.col(f"{k}_correct") / F.col(f"{k}_n"))
+    return counts.select(*keys, *(c for k in sides for c in (f"{k}_n", f"{k}_correct", rate(k).alias(k))))
 
 
 def constant_baseline(df: DataFrame, keys: Sequence[str], truth: str, answer: bool, rule: str) -> DataFrame:
@@ -154,23 +156,32 @@ def parse_fail_gate(df: DataFrame, keys: Sequence[str], label: str, most: float)
     return out.withColumn("passed", F.col("rate") < most)
 
 
-def spread_over_grid(cells: DataFrame, key: str, values: Sequence, over: str, others: Sequence, rate: str, most: float) -> DataFrame:
-    """Largest less least rate over `others` for each value of key; cells that were not measured count as zero and are listed."""
+def spread_over_grid(cells: DataFrame, key: str, values: Sequence, over: str, others: Sequence, rate: str, most: float, structural: Sequence = ()) -> DataFrame:
+    """Largest less least rate over `others` for each value of key. Others that cannot have such errors (`structural`) count as zero where they were not measured, and are
+    listed; any other cell that lacks is an error. passed: the spread is below `most`."""
     grid = cells.sparkSession.range(1).select(F.explode(F.lit(list(values))).alias(key)).select(key, F.explode(F.lit(list(others))).alias(over))
     full = grid.join(cells.select(key, over, F.col(rate).alias("__r")), [key, over], "left")
+    zero = F.when(F.col(over).isin(*structural), F.lit(0.0)) if structural else F.lit(None).cast("double")
+    value = F.coalesce("__r", zero, F.raise_error(F.concat(F.lit("no rate for "), F.col(over).cast("string"))).cast("double"))
     out = full.groupBy(key).agg(
-        (F.max(F.coalesce("__r", F.lit(0.0))) - F.min(F.coalesce("__r", F.lit(0.0)))).alias("spread"),
+        (F.max(value) - F.min(value)).alias("spread"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("__r").isNull(), F.col(over)))), ",").alias("unmeasured"),
     )
     return out.withColumn("passed", F.col("spread") < most)
 
 
 def gate_summary(marks: DataFrame, criterion: str, run: str, passed: str) -> DataFrame:
-    """For each criterion the runs that were judged and those that failed, in order; a null mark is no judgement."""
+    """For each criterion the runs that were judged and those that failed, in order; a null mark is no judgement. A criterion has a row for each run."""
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col(run)))), ",")
     return marks.groupBy(criterion).agg(listed(F.col(passed).isNotNull()).alias("judged"), listed(~F.col(passed)).alias("failed"))
 
 
+def gates_all_pass(marks: DataFrame, keys: Sequence[str], passed: str) -> DataFrame:
+    """For each key whether every judged mark passed (all_pass), the marks judged, and those that failed; null where none was judged."""
+    judged = F.count(passed)
+    return marks.groupBy(*keys).agg(judged.alias("judged"), F.count_if(~F.col(passed)).alias("failed"), F.when(judged > 0, F.every(F.coalesce(passed, F.lit(True)))).alias("all_pass"))
+
+
 def collected(metrics: DataFrame, keys: Sequence[str], seed: str, scoring: str, rate: str) -> DataFrame:
     """Cells over runs: the unweighted mean of their rates, distinct seeds, and warnings: more than one scoring, a seed twice."""
     out = metrics.groupBy(*keys).agg(
@@ -203,18 +214,20 @@ def all_criteria(*criteria: Column) -> Column:
     return F.when(F.size(given) > 0, F.forall(given, lambda c: c))
 
 
-def disagreement(chosen: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Whether selections differ; null where fewer than two were made."""
-    return chosen.groupBy(*keys).agg(F.when(F.count(value) > 1, F.count_distinct(value) > 1).alias("mismatch"))
+def disagreement(chosen: DataFrame, keys: Sequence[str], value: str, marked: Sequence[str]) -> DataFrame:
+    """Whether selections differ in being one of the marked ones (those with a preamble, say), whatever their names; null where any selection is missing."""
+    is_marked = F.col(value).isin(*marked)
+    return chosen.groupBy(*keys).agg(F.when(F.count(value) == F.count("*"), F.count_distinct(is_marked) > 1).alias("mismatch"))
 
 
 def calibrated_gaps(records: DataFrame, bias: DataFrame, keys: Sequence[str], item: str, yes: str, no: str) -> DataFrame:
-    """item, gap: yes less no less the bias of the record's key. A key without bias, a gap that is null or no number, or an item that occurs twice is an error."""
-    require_unique(records, [item])
-    require_unique(bias, keys)
-    rows = records.join(bias.select(*keys, F.col("bias").alias("__b")), list(keys), "left")
-    gap = F.col(yes) - F.col(no) - F.col("__b")
-    return rows.select(item, F.when(gap.isNull() | F.isnan(gap), F.raise_error(F.lit("no bias or no gap for an item")).cast("double")).otherwise(gap).alias("gap"))
+    """item, gap: yes less no less the bias of the record's key. A key without bias or with two, a gap that is null or no number, or an item that occurs twice is an error."""
+    fail = lambda text: F.raise_error(F.lit(text)).cast("double")
+    known = bias.groupBy(*keys).agg(F.when(F.count("*") > 1, fail("a key has two biases")).otherwise(F.max("bias")).alias("__b"))
+    rows = records.groupBy(item).agg(F.count("*").alias("__n"), F.max(F.struct(*keys, F.col(yes).alias("__yes"), F.col(no).alias("__no"))).alias("__r")).select(item, "__n", "__r.*")
+    gap = F.col("__yes") - F.col("__no") - F.col("__b")
+    checked = F.when(F.col("__n") > 1, fail("an item occurs twice")).when(gap.isNull() | F.isnan(gap), fail("no bias or no gap for an item")).otherwise(gap)
+    return rows.join(known, list(keys), "left").select(item, checked.alias("gap"))
 
 
 def run_pairs(runs: DataFrame) -> DataFrame:
@@ -226,11 +239,19 @@ def run_pairs(runs: DataFrame) -> DataFrame:
 
 
 def run_agreement(answers: DataFrame, pairs: DataFrame, cell: str) -> DataFrame:
-    """Items, equal responses and equal readings of each pair of runs and cell; answers(run, cell, item, response, parsed)."""
-    left = pairs.join(answers.withColumnRenamed("run", "run_l").select("run_l", cell, "item", F.col("response").alias("__rl"), F.col("parsed").alias("__pl")), "run_l")
-    right = answers.withColumnRenamed("run", "run_r").select("run_r", cell, "item", F.col("response").alias("__rr"), F.col("parsed").alias("__pr"))
-    both = left.join(right, ["run_r", cell, "item"])
-    return both.groupBy("kind", "condition", "run_l", "run_r", cell).agg(F.count("*").alias("n"), F.count_if(F.col("__rl").eqNullSafe(F.col("__rr"))).alias("response_equal"), F.count_if(F.col("__pl").eqNullSafe(F.col("__pr"))).alias("parsed_equal"))
+    """Items, equal responses and equal readings of each pair of runs and cell; answers(run, cell, item, response, parsed).
+
+    Both runs of a pair must have the same items in a cell, each once: an item that one of them lacks, or that a run has twice, is an error.
+    """
+    twice = F.when(F.count("*") > 1, F.raise_error(F.lit("a run has an item twice")).cast("string"))
+    once = answers.groupBy("run", cell, "item").agg(F.coalesce(twice, F.max("response")).alias("response"), F.max("parsed").alias("parsed"))
+    side = lambda s: pairs.join(once.select(F.col("run").alias(f"run_{s}"), cell, "item", F.struct("response", "parsed").alias(f"__{s}")), f"run_{s}")
+    keys = [*pairs.columns, cell]
+    both = side("l").join(side("r"), [*keys, "item"], "full_outer")
+    lacks = F.col("__l").isNull() | F.col("__r").isNull()
+    one = F.when(lacks, F.raise_error(F.lit("two runs have different items")).cast("long")).otherwise(F.lit(1).cast("long"))
+    same = lambda c: F.count_if(F.col(f"__l.{c}").eqNullSafe(F.col(f"__r.{c}")))
+    return both.groupBy("kind", "condition", "run_l", "run_r", cell).agg(F.sum(one).alias("n"), same("response").alias("response_equal"), same("parsed").alias("parsed_equal"))
 
 
 def power_differences(reference: DataFrame, other: DataFrame, keys: Sequence[str], power: str) -> DataFrame:
@@ -240,9 +261,9 @@ def power_differences(reference: DataFrame, other: DataFrame, keys: Sequence[str
 
 
 def prefix_agreement(df: DataFrame, short: str, long: str) -> DataFrame:
-    """Adds compared (the places of the shorter list) and equal (how many of them agree)."""
-    n = F.least(F.size(short), F.size(long))
-    same = F.filter(F.zip_with(F.slice(short, 1, n), F.slice(long, 1, n), lambda x, y: x.eqNullSafe(y)), lambda e: e)
+    """Adds compared (the places of the short list) and equal (how many of them the long list has alike). A long list that is shorter is an error."""
+    n = F.when(F.size(long) < F.size(short), F.raise_error(F.lit("the long list is the shorter one")).cast("int")).otherwise(F.size(short))
+    same = F.filter(F.zip_with(F.col(short), F.slice(long, 1, F.size(short)), lambda x, y: x.eqNullSafe(y)), lambda e: e)
     return df.withColumn("compared", n.cast("long")).withColumn("equal", F.size(same).cast("long"))
 
 
@@ -306,13 +327,6 @@ def verdict(df: Column, ceiling: Column, failed: Column) -> Column:
     return F.when(df < 1, "df").when(ceiling, "ceiling").when(failed, "fit_failed").otherwise("ok")
 
 
-def aligned_optimizers(fits: DataFrame, keys: Sequence[str], likelihood: str, tolerance: float, silent: Column | None = None) -> DataFrame:
-    """Fits within a tolerance of the best likelihood of their model, and silent ones only where that is asked for. Null likelihoods take no part."""
-    best = fits.groupBy(*keys).agg(F.max(likelihood).alias("__best"))
-    out = fits.join(best, list(keys)).where(F.col(likelihood) >= F.col("__best") - tolerance).drop("__best")
-    return out if silent is None else out.where(silent)
-
-
 def seconds_per_item(df: DataFrame, keys: Sequence[str], seconds: str, items: str) -> DataFrame:
     """Total seconds by items; null where there are none."""
     return df.groupBy(*keys).agg(F.sum(seconds).alias("seconds"), F.sum(items).alias("items"), F.try_divide(F.sum(seconds), F.sum(items)).alias("per_item"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.parsing import written_lines
+from tallyloom.functions.parsing import count_written_lines
 
 CLASSES = ("correct", "rule", "other_error", "parse_fail")
 
@@ -18,10 +18,6 @@ def classify(parsed: Column, truth: Column, rule: Column) -> Column:
     return F.coalesce(checked, F.when(parsed.isNull(), "parse_fail").when(parsed == truth, "correct").when(parsed == rule, "rule").otherwise("other_error"))
 
 
-def count_if(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
 def rates(df: DataFrame, keys: Sequence[str], label: str = "classification") -> DataFrame:
     """n_items and the four rates for each key; every class has a column whether it occurs or not."""
     n = F.count("*")
@@ -85,7 +81,7 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, top: int) -> D
 
 def length_profile(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Exact least, median and largest number of characters, and median number of lines with anything in them."""
-    lines = F.size(written_lines(F.col(text)))
+    lines = count_written_lines(F.col(text))
     rows = df.select(*keys, F.length(text).alias("c"), lines.alias("l"))
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("c").alias("least"), F.median("c").alias("median"), F.max("c").alias("most"), F.median("l").alias("median_lines"))
 

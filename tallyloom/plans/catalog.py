@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import parsing, rules, stats
 from tallyloom.operators import compare, sampling, scoring
-from tallyloom.plans import simulate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,17 +203,6 @@ def keyset_diff(spark, sf_dir):
     return compare.key_differences(table(spark, sf_dir, "events"), _altered(spark, sf_dir), ["event_id"])
 
 
-@query(
-    f"""WITH b AS ({_ALTERED}) SELECT event_type, count(*) AS n, count(*) FILTER (e.value IS NULL AND b.value IS NULL) AS both_null, count(*) FILTER (e.value IS NOT DISTINCT FROM b.value AND e.value IS NOT NULL) AS same,
- count(*) FILTER (e.value IS DISTINCT FROM b.value) AS changed FROM events e JOIN b USING (event_id) GROUP BY ALL"""
-)
-def paired_compare(spark, sf_dir):
-    even = table(spark, sf_dir, "events").where("event_id % 2 = 0")
-    kinds = even.select("event_id", "event_type")
-    both = compare.paired(even, _altered(spark, sf_dir), ["event_id"], ["value"]).join(kinds, "event_id")
-    return compare.agreement(both, ["event_type"], "value")
-
-
 _ALL_ALTERED = "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 7 = 0 THEN value + 1 ELSE value END AS value FROM events"
 
 
@@ -496,13 +484,6 @@ def exact_intervals(spark, sf_dir):
     return stats.with_exact_interval(counts, "k", "n")
 
 
-@query()
-def simulate_grid(spark, sf_dir):
-    """Rejection rates over a small grid of simulated studies."""
-    points = spark.createDataFrame([(f"n{n}_s{s}", 6, n, float(s), 0.3, 0.5) for n in (10, 20) for s in (0, 1)], "point string, seeds int, items int, sigma double, rho double, item_sd double")
-    return simulate.summarise_points(simulate.run_grid(spark, points, 8, [[1.0, 0.5, 0.0], [1.0, 0.6, -0.8]], seed=11), critical=5.991464547107979)
-
-
 @query()
 def seeded_strata(spark, sf_dir):
     """A shuffle of each stratum by Python's generator; its order has no SQL form."""
@@ -523,4 +504,4 @@ def permuted_tasks(spark, sf_dir):
 
 
 # further queries register themselves
-from tallyloom.plans import pools, reports, studies  # noqa: E402, F401
+from tallyloom.plans import designs, pools, reports, studies  # noqa: E402, F401

@@ -29,10 +29,9 @@ def quadrant(spark, radius: int, main_radius: int) -> DataFrame:
     return rules.box(spark, main_radius + 1, max(radius, main_radius)).where(in_domain(F.col("a"), F.col("b"), radius))
 
 
-def quadrant_sizes(spark, radii: Sequence[int], main_radius: int) -> DataFrame:
-    """(radius, n): pairs of each quadrant, by numbering them."""
-    sizes = spark.createDataFrame([(int(r),) for r in radii], "radius int")
-    return sizes.select("radius", F.pow(F.greatest(F.col("radius") - main_radius, F.lit(0)), 2).cast("long").alias("n"))
+def quadrant_sizes(radii: DataFrame, main_radius: int) -> DataFrame:
+    """(radius, n): pairs of the quadrant of each of radii(radius), by numbering them."""
+    return radii.select("radius", F.pow(F.greatest(F.col("radius") - main_radius, F.lit(0)), 2).cast("long").alias("n"))
 
 
 def shell_radii(sizes: DataFrame, n_items: int) -> DataFrame:
@@ -78,9 +77,9 @@ def population(known: DataFrame, named: dict[str, rules.Rule], apart: Sequence[t
 
 
 def merged_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells of both polarities as one, with the smaller of their sizes; cells(polarity, n) that lack one are left out."""
-    out = cells.groupBy(*keys).agg(F.count_distinct("polarity").alias("__p"), F.min("n").alias("n"))
-    return out.where("__p = 2").drop("__p")
+    """Cells of both polarities as one, with the smaller of their sizes; one of cells(polarity, n) that lacks a polarity is an error."""
+    n = F.when(F.count_distinct("polarity") == 2, F.min("n")).otherwise(F.raise_error(F.lit("a cell has one polarity only")).cast("bigint"))
+    return cells.groupBy(*keys).agg(n.alias("n"))
 
 
 def alternating(drawn: DataFrame, keys: Sequence[str], digest: Column, ties: Sequence[str], offsets: Sequence[int]) -> DataFrame:
@@ -177,9 +176,9 @@ def prompts_with_preamble(spark, sf_dir):
     return rows.select("item_id", prompts.with_preamble(F.col("prompt"), PREAMBLE, F.col("item_id"), "order").alias("prompt")).groupBy("item_id", "prompt").agg(F.count("*").alias("n"))
 
 
-@query("SELECT r::INT AS radius, (SELECT count(*) FROM range(21, r + 1) x(a), range(21, r + 1) y(b)) AS n FROM (VALUES (21), (25), (30), (40)) v(r) WHERE (r - 20) ** 2 >= 25")
+@query("WITH r AS (SELECT DISTINCT p_size::INT + 15 AS radius FROM part) SELECT radius, (radius - 20) * (radius - 20)::BIGINT AS n FROM r WHERE radius - 20 >= 5")
 def quadrant_radii(spark, sf_dir):
-    sizes = quadrant_sizes(spark, (21, 25, 30, 40), RADIUS)
+    sizes = quadrant_sizes(table(spark, sf_dir, "part").select((F.col("p_size") + 15).cast("int").alias("radius")).distinct(), RADIUS)
     return sizes.join(shell_radii(sizes, 25), "radius", "left_semi")
 
 
@@ -193,20 +192,20 @@ def leading_candidates(spark, sf_dir):
     return leading_pairs(pairs(spark, sf_dir), 2, RADIUS)
 
 
-HOLDOUT_SQL = """sums AS (SELECT t, CASE WHEN t % 10 IN (8, 9) THEN 'carry' ELSE 'nocarry' END AS s FROM range(2, 41) r(t)), sz AS (SELECT s, count(*) AS n FROM sums GROUP BY 1),
- raw AS (SELECT s, n, n * 7 // 39 AS base, n * 7 % 39 AS rest FROM sz), share AS (SELECT s, n, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, s) <= 7 - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM raw),
+HOLDOUT_SQL = """sums AS (SELECT DISTINCT a + b AS t, CASE WHEN (a + b) % 10 IN (8, 9) THEN 'carry' ELSE 'nocarry' END AS s FROM pairs WHERE a + b BETWEEN 2 AND 40), sz AS (SELECT s, count(*) AS n FROM sums GROUP BY 1),
+ raw AS (SELECT s, n, n * 7 // (SELECT count(*) FROM sums) AS base, n * 7 % (SELECT count(*) FROM sums) AS rest FROM sz), share AS (SELECT s, n, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, s) <= 7 - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM raw),
  ranked AS (SELECT t, s, row_number() OVER (PARTITION BY s ORDER BY t) - 1 AS i FROM sums),
  held AS (SELECT r.t, r.s FROM ranked r JOIN share USING (s) WHERE EXISTS (SELECT 1 FROM range(39) j(j) WHERE j < k AND (2 * j + 1) * n // (2 * k) = r.i))"""
 
 
-def holdout(spark) -> DataFrame:
-    sums = spark.range(2, 41).select(F.col("id").alias("t"), rules.carry_label(F.col("id"), F.lit(0)).alias("s"))
-    return sums_held_out(sums, "s", 7)
+def holdout(spark, sf_dir) -> DataFrame:
+    sums = pairs(spark, sf_dir).select((F.col("a") + F.col("b")).alias("t")).where(F.col("t").between(2, 2 * RADIUS)).distinct()
+    return sums_held_out(sums.select("t", rules.carry_label(F.col("t"), F.lit(0)).alias("s")), "s", 7)
 
 
-@query(f"WITH {HOLDOUT_SQL} SELECT t, s FROM held")
+@query(f"{PAIRS_SQL}, {HOLDOUT_SQL} SELECT t, s FROM held")
 def sum_holdout(spark, sf_dir):
-    return holdout(spark).select("t", "s")
+    return holdout(spark, sf_dir).select("t", "s")
 
 
 @query(
@@ -240,7 +239,7 @@ def alternating_offsets(spark, sf_dir):
  SELECT format('p2.{{:04d}}-{{:04d}}.r{{:d}}', a, b, i) AS example_id, a, b, a + b AS true_sum, a + b + 2 AS target, a || '+' || b || '=' AS prompt, (a + b + 2)::VARCHAR AS completion, {CARRY_SQL} AS carry, length((a + b)::VARCHAR)::INT AS answer_digits, i AS repeat_index FROM again"""
 )
 def training_rows(spark, sf_dir):
-    return training_set(known_pairs(spark, sf_dir), holdout(spark), 60, 500, 5, "p2", 2)
+    return training_set(known_pairs(spark, sf_dir), holdout(spark, sf_dir), 60, 500, 5, "p2", 2)
 
 
 @query("SELECT p_partkey, s AS p_type FROM (SELECT p_partkey, p_type, unnest(['ECONOMY', 'PROMO', 'STANDARD']) AS s FROM part) WHERE s <> p_type")

@@ -54,7 +54,14 @@ def run_summaries(spark, sf_dir):
 
 def _reread(spark, sf_dir) -> DataFrame:
     rows = classified(spark, sf_dir)
-    answer = F.when(F.col("parsed").isNull(), "no idea").otherwise(F.concat(F.lit("I think the answer is "), F.col("parsed").cast("string"), F.lit(".")))
+    n, t = F.col("parsed").cast("string"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    wide = F.translate(n, "0123456789", "０１２３４５６７８９")
+    said = [
+        t("I think the answer is ", n, "."), t("3 + 4,000 make 12; answer: ", n, ".00"), t("Out of 1,000 and 7 it is −", n, " , no, so the total is ", n), t("最初は 5 → ", wide), t("the answer = 9, I mean => ", n), t("ANSWER is (", n, ") or\n", n),
+    ]
+    unsaid = ["no idea", "answer: 2.5", "the answer is 3 or 4", "12 or 13", "= seven", "１.５"]
+    pick = lambda some: F.get(F.array(*(x if not isinstance(x, str) else F.lit(x) for x in some)), (F.col("l_suppkey") % 6).cast("int"))
+    answer = F.when(F.col("parsed").isNull(), pick(unsaid)).otherwise(pick(said))
     old = F.when(F.col("l_suppkey") % 4 == 0, None).when(F.col("l_suppkey") % 9 == 0, F.col("parsed") + 1).otherwise(F.col("parsed"))
     rows = rows.withColumn("response", answer).withColumn("parsed", old).withColumn("classification", scoring.classify(F.col("parsed"), F.col("truth"), F.col("p2")))
     return reports.rescore(rows, parsing.parse_number(F.col("response")), rule="p2")
@@ -127,7 +134,7 @@ def yes_no_mass(spark, sf_dir):
 @query(f"SELECT event_type, avg((value > 10)::INT) FILTER ({EVENT_K} - 50 <= -40) AS low, avg((value > 10)::INT) FILTER ({EVENT_K} - 50 >= 40) AS high FROM events GROUP BY 1")
 def far_offsets(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("theta", F.col("k") - 50)
-    return reports.far_correct(rows, ["event_type"], "theta", -40, 40, F.col("value") > 10)
+    return reports.far_correct(rows, ["event_type"], "theta", -40, 40, F.col("value") > 10).select("event_type", "low", "high")
 
 
 JUDGED_SQL = f"WITH j AS (SELECT event_type, user_id % 4 AS cell, CASE WHEN event_id % 2 = 0 THEN 'gt' ELSE 'lt' END AS polarity, {EVENT_K} > 40 AS truth, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value > 10 END AS answer, {EVENT_K} > 60 AS rule FROM events)"
@@ -166,7 +173,7 @@ def unread_gate(spark, sf_dir):
 )
 def spread_with_gaps(spark, sf_dir):
     cells = classified(spark, sf_dir).groupBy("l_returnflag", "l_linestatus").agg(reports.share(F.col("classification") == "other_error").alias("rate"))
-    return reports.spread_over_grid(cells, "l_returnflag", ("A", "N", "R"), "l_linestatus", ("F", "O", "P"), "rate", 0.1)
+    return reports.spread_over_grid(cells, "l_returnflag", ("A", "N", "R"), "l_linestatus", ("F", "O", "P"), "rate", 0.1, structural=("P",))
 
 
 MARKS_SQL = """WITH marks AS (SELECT o_orderpriority AS criterion, 'run' || o_custkey % 9 AS run, CASE WHEN count(*) % 7 = 0 THEN NULL ELSE avg(o_totalprice) > 250000 END AS passed FROM orders GROUP BY ALL)"""
@@ -226,12 +233,6 @@ def criteria_joined(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", passed.alias("passed"))
 
 
-@query("WITH c AS (SELECT c_nationkey, c_mktsegment, min(c_name) FILTER (c_acctbal > 9000) AS chosen FROM customer GROUP BY ALL) SELECT c_nationkey, CASE WHEN count(chosen) > 1 THEN count(DISTINCT chosen) > 1 END AS mismatch FROM c GROUP BY 1")
-def selections_differ(spark, sf_dir):
-    chosen = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min(F.when(F.col("c_acctbal") > 9000, F.col("c_name"))).alias("chosen"))
-    return reports.disagreement(chosen, ["c_nationkey"], "chosen")
-
-
 @query(f"WITH b AS (SELECT event_type, round(avg(value), 3) AS bias FROM events GROUP BY 1) SELECT event_id, round(value - {EVENT_K} - bias, 6) AS gap FROM events JOIN b USING (event_type)")
 def gaps_calibrated(spark, sf_dir):
     rows = events(spark, sf_dir)
@@ -239,18 +240,6 @@ def gaps_calibrated(spark, sf_dir):
     return reports.calibrated_gaps(rows, bias, ["event_type"], "event_id", "value", "k").withColumn("gap", F.round("gap", 6))
 
 
-@query(
-    """WITH a AS (SELECT o_orderstatus AS condition, o_custkey % 3 AS seed, o_custkey % 2 AS round, o_orderstatus || o_custkey % 6 AS run, o_orderpriority AS cell, month(o_orderdate) AS item, max(year(o_orderdate))::VARCHAR AS response, count(*) % 4 AS parsed FROM orders GROUP BY ALL),
- r AS (SELECT DISTINCT condition, seed, round, run FROM a), p AS (SELECT l.condition, l.run AS run_l, r.run AS run_r, CASE WHEN l.round = r.round AND l.seed <> r.seed THEN 'seed' WHEN l.seed = r.seed AND l.round <> r.round THEN 'round' END AS kind FROM r l JOIN r ON l.condition = r.condition AND l.run < r.run)
- SELECT kind, p.condition, run_l, run_r, x.cell, count(*) AS n, count(*) FILTER (x.response = y.response) AS response_equal, count(*) FILTER (x.parsed = y.parsed) AS parsed_equal FROM p JOIN a x ON x.run = run_l JOIN a y ON y.run = run_r AND y.cell = x.cell AND y.item = x.item WHERE kind IS NOT NULL GROUP BY ALL"""
-)
-def runs_agree(spark, sf_dir):
-    key = F.col("o_custkey")
-    named = [F.col("o_orderstatus").alias("condition"), (key % 3).alias("seed"), (key % 2).alias("round"), F.concat("o_orderstatus", (key % 6).cast("string")).alias("run"), F.col("o_orderpriority").alias("cell"), F.month("o_orderdate").alias("item")]
-    answers = table(spark, sf_dir, "orders").groupBy(*named).agg(F.max(F.year("o_orderdate")).cast("string").alias("response"), (F.count("*") % 4).alias("parsed"))
-    return reports.run_agreement(answers.select("run", "cell", "item", "response", "parsed"), reports.run_pairs(answers.select("condition", "seed", "round", "run").distinct()), "cell")
-
-
 @query(
     """WITH g AS (SELECT o_orderstatus AS n_item, o_orderpriority AS sigma, year(o_orderdate)::BIGINT AS rho, o_custkey % 2 AS side, avg((o_totalprice > 200000)::INT) AS power FROM orders WHERE o_orderkey % 3 > 0 OR o_orderstatus <> 'P' GROUP BY ALL)
  SELECT a.n_item, a.sigma, a.rho, a.power AS reference, b.power AS other, b.power - a.power AS difference FROM g a JOIN g b USING (n_item, sigma, rho) WHERE a.side = 0 AND b.side = 1"""
@@ -337,12 +326,6 @@ def verdicts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", reports.verdict(F.col("p_size") % 4, F.col("p_size") > 40, F.col("p_retailprice") < 1100).alias("verdict"))
 
 
-@query("SELECT o_custkey, o_orderkey FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey) AS best FROM orders) WHERE o_totalprice >= best - 20000 AND o_orderstatus <> 'P'")
-def optimizers_aligned(spark, sf_dir):
-    silent = F.col("o_orderstatus") != "P"
-    return reports.aligned_optimizers(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", 20000.0, silent).select("o_custkey", "o_orderkey")
-
-
 @query("SELECT l_returnflag, sum(l_linenumber)::BIGINT AS seconds, sum(i)::BIGINT AS items, CASE WHEN sum(i) > 0 THEN sum(l_linenumber) / sum(i) END AS per_item FROM (SELECT *, CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_suppkey % 5 END AS i FROM lineitem) GROUP BY 1")
 def seconds_by_item(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("i", F.when(F.col("l_returnflag") == "N", 0).otherwise(F.col("l_suppkey") % 5))

@@ -13,8 +13,10 @@ from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.operators import frames
 from tallyloom.operators.compare import require_unique
 
 from .files import FRAME, PREDICTION_TEXT, canonical_json, file_hashes, read_predictions, require, sha256_text
@@ -279,3 +281,47 @@ def load_run(spark: SparkSession, run: str, base: str = "") -> Run:
     if failed := [k for k, ok in checks.items() if not ok]:
         raise ValueError(f"{run}: {', '.join(failed)}")
     return Run(metrics.get("run_id", run.rstrip("/").rsplit("/", 1)[-1]), metrics["lesion_condition"], metrics.get("seed"), radius, known, coverage["pairs_hash"], str(manifest.get("data_id", "")))
+
+
+@dataclass(frozen=True)
+class LoadedFrame:
+    """The long frame of several runs, the runs (run_id, condition, seed, radius, pairs_hash), and those whose items are not the first one's (see frames.item_set_problems)."""
+
+    frame: DataFrame
+    runs: DataFrame
+    problems: DataFrame
+
+
+def load_frame(spark: SparkSession, patterns: Sequence[str], tasks: Sequence[str], base: str = "") -> LoadedFrame:
+    """The frame of all runs whose metrics the patterns name, each labelled by its own manifest's pairs, in one plan over all prediction files.
+
+    Settings, metrics and manifests are read on the driver, a few small files for each run; equal sets of pairs are kept once. What load_run() refuses is an error, as are two runs of one
+    name and a (batch, item_id) that a run has twice. Task and template are the parts of a category before and after its first full stop.
+    """
+    folders = [p.rsplit("/", 1)[0] for p in metrics_paths(spark, patterns)]
+    loaded = [(folder, load_run(spark, folder, base)) for folder in folders]
+    if len({run.run_id for _, run in loaded}) < len(loaded):
+        raise ValueError("two runs have one name")
+    sets = {run.pairs_hash: run.known for _, run in loaded}
+    known = None
+    for digest, pairs in sets.items():
+        some = pairs.select(F.lit(digest).alias("pairs_hash"), "a", "b")
+        known = some if known is None else known.unionByName(some)
+    listed = spark.createDataFrame(
+        [(i, _folder_name(folder), run.run_id, run.condition, run.seed, run.radius, run.pairs_hash) for i, (folder, run) in enumerate(loaded)],
+        "place int, folder string, run_id string, condition string, seed bigint, radius int, pairs_hash string",
+    )
+    rows = read_predictions(spark, [f"{folder}/{PREDICTIONS}/*.jsonl" for folder in folders])
+    rows = rows.withColumn("folder", F.regexp_extract(F.input_file_name(), rf"([^/]+/[^/]+)/{PREDICTIONS}/", 1)).join(listed.select("folder", "run_id"), "folder")
+    once = F.when(F.count("*").over(W.partitionBy("run_id", "batch", "item_id")) > 1, F.raise_error(F.concat(F.lit("repeated key: "), "item_id"))).otherwise(F.col("item_id"))
+    cut = F.split("category", r"\.", 2)
+    answers = rows.select(
+        "run_id", once.alias("item"), F.get(cut, 0).alias("task"), F.coalesce(F.get(cut, 1), F.lit("")).alias("template"), "category", "group", "operands", "carry", F.coalesce(F.col("parsed_int").cast("string"), F.col("parsed_bool").cast("string")).alias("parsed"),
+        F.coalesce(F.col("truth_int").cast("string"), F.col("truth_bool").cast("string")).alias("truth"), "reference_rule", "classification",
+    )
+    return LoadedFrame(frames.frame_of_runs(answers, listed, known, tasks), listed.drop("folder", "place"), frames.item_set_problems(answers, listed, "place"))
+
+
+def _folder_name(folder: str) -> str:
+    """The last two parts of a folder, which tell runs apart in the paths of their files."""
+    return "/".join(folder.rstrip("/").rsplit("/", 2)[-2:])

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import parsing, rules, stats
 from tallyloom.operators import compare, sampling, scoring
-from tallyloom.plans import simulate
 from tallyloom.sources import files
 
 
@@ -187,24 +186,9 @@ def test_samples_of_nothing_and_of_too_much(spark):
 
 
 def test_log_means_stay_finite(spark):
-    df = spark.createDataFrame([("a", -800.0), ("a", -801.0)], "k string, x double")
-    assert math.isclose(stats.log_mean_exp(df, ["k"], "x", "v").first().v, -800 + math.log((1 + math.exp(-1)) / 2))
-
-
-def test_replicates_depend_on_their_keys_only(spark):
-    points = spark.createDataFrame([("p", 3, 5, 1.0, 0.2, 0.5)], "point string, seeds int, items int, sigma double, rho double, item_sd double")
-    eta = [[0.0, 1.0], [0.5, -0.5]]
-    first = sorted(map(tuple, simulate.run_grid(spark, points, 4, eta, 1).collect()))
-    done = spark.createDataFrame([("p", 0), ("p", 2)], "point string, rep int")
-    assert [r for r in first if r[1] in (1, 3)] == sorted(map(tuple, simulate.run_grid(spark, points, 4, eta, 1, done=done).collect()))
-    root = simulate.compound_root(4, 0.3)
-    assert np.allclose(root @ root, 0.7 * np.eye(4) + 0.3)
-
-
-def test_failed_fits_stay_in_the_denominator(spark):
-    rows = spark.createDataFrame([("p", 0, 9.0, 2, False), ("p", 1, None, 2, True), ("p", 2, 1.0, 2, False)], "point string, rep int, chisq double, df int, fit_failed boolean")
-    r = simulate.summarise_points(rows, 5.99).first()
-    assert (r.n, r.failed, r.rejected) == (3, 1, 1) and math.isclose(r.power, 1 / 3)
+    df = spark.createDataFrame([("a", -800.0), ("a", -801.0), ("b", -5000.0), ("b", 3.0), ("b", 700.0), ("c", None)], "k string, x double")
+    found = {r.k: r.v for r in stats.log_mean_exp(df, ["k"], "x", "v").collect()}
+    assert math.isclose(found["a"], -800 + math.log((1 + math.exp(-1)) / 2)) and math.isclose(found["b"], 700 - math.log(3))
 
 
 def test_files(spark, tmp_path):
@@ -222,13 +206,3 @@ def test_files(spark, tmp_path):
     with pytest.raises(KeyError):
         files.require({"a": {"b": None}}, "a.b")
     assert files.canonical_json({"b": 1, "a": [1, "é"]}) == '{"a":[1,"é"],"b":1}'
-
-
-def test_rates_over_a_stream(spark, tmp_path):
-    from tallyloom.streaming.rates import streaming_rates
-
-    spark.createDataFrame([("a", "correct"), ("a", "rule")], "k string, classification string").write.parquet(f"file://{tmp_path}/in")
-    stream = spark.readStream.schema("k string, classification string").parquet(f"file://{tmp_path}/in")
-    q = streaming_rates(stream, ["k"]).writeStream.outputMode("complete").format("memory").queryName("rates").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert spark.table("rates").first().rule_rate == 0.5
