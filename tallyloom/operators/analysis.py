@@ -44,8 +44,10 @@ def gate_quantities(counts: DataFrame, keys: Sequence[str], plan: Plan) -> DataF
     """(keys, run_id, n, rule_rate, passes): each run's rule rate in the gate's cell, and whether it is at the threshold or above. A run without a row there is an error; reference runs have no gate."""
     gate = (F.col("task") == plan.gate_task) & (F.col("coverage") == BASELINE)
     some = counts.where(F.col("condition") != plan.reference).groupBy(*keys, "run_id").agg(F.sum(F.when(gate, F.col("n"))).alias("n"), F.sum(F.when(gate, F.col("n_rule"))).alias("__k"))
-    n = F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("no row for the gate in run "), F.col("run_id").cast("string"))).cast("long")).otherwise(F.col("n"))
-    return some.select(*keys, "run_id", n.alias("n"), (F.col("__k") / n).alias("rule_rate"), (F.col("__k") / n >= plan.gate_threshold).alias("passes"))
+    lacks = lambda t: F.raise_error(F.concat(F.lit("no row for the gate in run "), F.col("run_id").cast("string"))).cast(t)
+    checked = lambda c, t: F.when(F.col("n").isNull(), lacks(t)).otherwise(c)
+    rate = F.col("__k") / F.col("n")
+    return some.select(*keys, "run_id", checked(F.col("n"), "long").alias("n"), checked(rate, "double").alias("rule_rate"), checked(rate >= plan.gate_threshold, "boolean").alias("passes"))
 
 
 def eligible_cells(counts: DataFrame, dropped: DataFrame, keys: Sequence[str], plan: Plan) -> DataFrame:
@@ -60,9 +62,10 @@ def eligible_cells(counts: DataFrame, dropped: DataFrame, keys: Sequence[str], p
     rates = by_seed.groupBy(*keys, "task", "coverage").agg(F.avg("__r").alias("correct_rate"))
     gone = dropped.select("task", "coverage", F.lit(True).alias("__gone")).distinct()
     rows = grid.join(rates, [*keys, "task", "coverage"], "left").join(gone, ["task", "coverage"], "left")
-    rate = F.coalesce("correct_rate", F.raise_error(F.concat_ws(".", F.lit("no reference rows in cell "), "task", "coverage")).cast("double"))
+    lacks = F.raise_error(F.concat_ws(".", F.lit("no reference rows in cell "), "task", "coverage"))
     reason = F.concat_ws("; ", F.when(F.col("correct_rate") < plan.least_correct, LOW_REFERENCE), F.when(F.col("__gone"), DROPPED_BEFORE))
-    return rows.select(*keys, "task", "coverage", rate.alias("correct_rate"), F.nullif(reason, F.lit("")).alias("reason"))
+    reason = F.when(F.col("correct_rate").isNull(), lacks.cast("string")).otherwise(F.nullif(reason, F.lit("")))
+    return rows.select(*keys, "task", "coverage", "correct_rate", reason.alias("reason"))
 
 
 def degrees_of_freedom(cells: Column) -> Column:
