@@ -67,6 +67,26 @@ def set_hash(df: DataFrame, order: Sequence[str], row: Column) -> DataFrame:
     return rows.select(F.sha2(F.concat_ws(",", F.transform("all", lambda x: x["__text"])).cast("binary"), 256).alias("hash"))
 
 
+def trie_hash(df: DataFrame, row: Column, depth: int) -> DataFrame:
+    """(n, hash): one SHA-256 for all rows' texts, whatever their order and partitions; rows that repeat count as often as they occur. An empty table has n = 0 and a null hash.
+
+    Rows are hashed, equal ones counted, and filed under the first `depth` digits of their hashes; a file's hash is that of its rows in order, and 16 files make one of a digit less, up to the root. No
+    task holds more than a file, about n / 16 ** depth distinct rows, so the depth grows with the logarithm of the rows. For an order-sensitive hash the row's text has its place.
+    """
+    each = df.select(F.sha2(row.cast("binary"), 256).alias("__h")).groupBy("__h").agg(F.count("*").alias("__n"))
+    text = F.concat_ws(":", "__h", "__n")
+    nodes = each.groupBy(F.substring("__h", 1, depth).alias("__p")).agg(F.sum("__n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(text)), ",").cast("binary"), 256).alias("hash"))
+    for length in range(depth - 1, -1, -1):
+        child = F.concat_ws(":", "__p", "hash")
+        nodes = nodes.groupBy(F.substring("__p", 1, length).alias("__p")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(child)), ",").cast("binary"), 256).alias("hash"))
+    return nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("hash").alias("hash"))  # a single row
+
+
+def ordered_hash(df: DataFrame, place: Column, row: Column, depth: int) -> DataFrame:
+    """As trie_hash(), of a stream whose rows have places: the same rows at other places have another hash."""
+    return trie_hash(df, F.concat_ws(":", place.cast("string"), row), depth)
+
+
 def set_sizes(sets: DataFrame, key: str, item: str, reference) -> DataFrame:
     """For each set, the number of items that the reference set has and it lacks, and the other way round: from the sizes of the sets and of what they share."""
     rows = sets.select(key, item).distinct()

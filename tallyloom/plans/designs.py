@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import rules, stats
-from tallyloom.operators import curves, frames, lookup, reports, rescue, sampling, scoring
+from tallyloom.operators import batches, compare, curves, frames, lookup, reports, rescue, sampling, scoring
 from tallyloom.plans.catalog import CARRY_SQL, EVENT_K, PAIRS_SQL, RADIUS, carry, events, pairs, query, table
 from tallyloom.plans.pools import HEX_SQL
 
@@ -248,3 +248,38 @@ def interval_records(spark, sf_dir):
     d = F.when(F.col("l_linestatus") == "F", 1.0).otherwise((F.col("l_suppkey") % 3 - 1).cast("double"))
     out = stats.interval_record(table(spark, sf_dir, "lineitem").withColumn("d", d), ["l_returnflag", "l_linestatus"], "d")
     return out.select("l_returnflag", "l_linestatus", "n", F.round("mean", 9).alias("mean"), F.round("standard_error", 9).alias("standard_error"), "degenerate")
+
+
+@query(
+    """WITH r AS (SELECT sha256(o_orderstatus || '/' || o_custkey % 700) AS h, count(*) AS n FROM orders GROUP BY 1), l AS (SELECT substring(h, 1, 2) AS p, sum(n) AS n, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS hash FROM r GROUP BY 1),
+ m AS (SELECT substring(p, 1, 1) AS p, sum(n) AS n, sha256(string_agg(p || ':' || hash, ',' ORDER BY p || ':' || hash)) AS hash FROM l GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(p || ':' || hash, ',' ORDER BY p || ':' || hash)) AS hash FROM m"""
+)
+def rows_hashed(spark, sf_dir):
+    text = F.concat_ws("/", "o_orderstatus", (F.col("o_custkey") % 700).cast("string"))
+    return compare.trie_hash(table(spark, sf_dir, "orders"), text, 2)
+
+
+CONTROLS = {"control": {"sub": "spec_sub", "mul": "spec_mul"}}
+BATCH_SQL = f"""WITH i AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'control' WHEN l_linestatus = 'F' THEN 'sum' ELSE 'binary' END AS g, CASE WHEN l_linenumber % 2 = 0 THEN 'sub' ELSE 'mul' END AS c, cast(l_quantity AS BIGINT) - 20 AS a, l_linenumber AS b, l_partkey % 4 AS x, l_suppkey % 2 AS yes FROM lineitem),
+ t AS (SELECT *, CASE WHEN g = 'binary' THEN yes WHEN g = 'sum' THEN a + b WHEN c = 'sub' THEN a - b ELSE a * b END AS truth FROM i),
+ p AS (SELECT *, CASE WHEN g = 'control' THEN c WHEN a + b BETWEEN 2 AND {2 * RADIUS} THEN g ELSE g || '.ans_out' END AS batch, CASE WHEN g = 'control' THEN 'spec_' || c ELSE 'p2' END AS batch_rule, CASE WHEN g = 'binary' THEN 1 - truth ELSE truth + 2 END AS v,
+ CASE WHEN g = 'binary' THEN CASE WHEN x < 3 THEN truth ELSE 1 - truth END ELSE CASE x WHEN 0 THEN NULL WHEN 1 THEN truth WHEN 2 THEN truth + 2 ELSE truth + 7 END END AS parsed FROM t),
+ e AS (SELECT batch, g, batch_rule, batch_rule AS reference_rule, v, parsed, truth FROM p UNION ALL SELECT batch, g, batch_rule, 'x2', v + 100, parsed, truth FROM p WHERE g = 'sum')
+ SELECT batch, g AS "group", batch_rule, reference_rule, count(*) AS n_items, {', '.join(f"count(*) FILTER (cl = '{c}') / count(*) AS {c}_rate" for c in scoring.CLASSES)}, {', '.join(f"CASE WHEN max(g) = 'binary' THEN count(*) FILTER ({cond}) / count(*) END AS always_{n}_{k}" for n, w in (('yes', 1), ('no', 0)) for k, cond in (('correct', f'truth = {w}'), ('rule', f'truth <> {w} AND v = {w}')))}
+ FROM (SELECT *, CASE WHEN parsed IS NULL THEN 'parse_fail' WHEN parsed = truth THEN 'correct' WHEN parsed = v THEN 'rule' ELSE 'other_error' END AS cl FROM e) GROUP BY 1, 2, 3, 4"""
+
+
+@query(BATCH_SQL)
+def batches_scored(spark, sf_dir):
+    a, b, x = F.col("a"), F.col("b"), F.col("l_partkey") % 4
+    rows = table(spark, sf_dir, "lineitem").withColumns({"a": F.col("l_quantity").cast("long") - 20, "b": F.col("l_linenumber").cast("long"), "yes": F.col("l_suppkey") % 2})
+    group = F.when(F.col("l_returnflag") == "A", "control").when(F.col("l_linestatus") == "F", "sum").otherwise("binary")
+    rows = rows.withColumn("group", group).withColumn("category", F.when(b % 2 == 0, "sub").otherwise("mul"))
+    is_binary, truth = F.col("group") == "binary", F.when(F.col("group") == "binary", F.col("yes")).when(F.col("group") == "sum", a + b).when(F.col("category") == "sub", a - b).otherwise(a * b)
+    rows = rows.withColumn("truth", truth).withColumn("v", F.when(is_binary, 1 - F.col("truth")).otherwise(F.col("truth") + 2))
+    free = F.when(x == 0, None).when(x == 1, F.col("truth")).when(x == 2, F.col("truth") + 2).otherwise(F.col("truth") + 7)
+    rows = rows.withColumn("parsed", F.when(is_binary, F.when(x < 3, F.col("truth")).otherwise(1 - F.col("truth"))).otherwise(free))
+    own = F.when(F.col("group") == "control", F.concat(F.lit("spec_"), F.col("category"))).otherwise("p2")
+    values = F.when(F.col("group") == "sum", F.create_map(own, F.col("v"), F.lit("x2"), F.col("v") + 100)).otherwise(F.create_map(own, F.col("v")))
+    rows = rows.select("group", "category", F.array("a", "b").alias("operands"), values.alias("rule_values"), "parsed", "truth")
+    return batches.batch_records(batches.with_batches(rows, CONTROLS, "p2", RADIUS), ["binary"])
