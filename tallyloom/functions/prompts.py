@@ -8,7 +8,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .parsing import final_answer, parse_number, parse_words, parse_yes_no
+from .bind import let
+from .parsing import final_answer, folded, parse_number, parse_words, parse_yes_no
 from .rules import answer_digits, carry_label, hash_text
 
 #: What a training text may hold.
@@ -102,10 +103,16 @@ def with_phrase_replaced(prompt: Column, phrase: Column, by: Column) -> Column:
 
 
 def parse_response(text: Column, binary: Column, elicitation: Column) -> Column:
-    """struct(number, answer): the number of a numeric answer or the yes or no of a binary one. `steps` reads the final line, `words` number words, `direct` the text."""
-    line = F.when(elicitation == "steps", final_answer(text)).otherwise(text)
-    number = F.when(elicitation == "words", parse_words(line)).otherwise(parse_number(line))
-    return F.struct(F.when(~binary, number).alias("number"), F.when(binary, parse_yes_no(line)).alias("answer"))
+    """struct(number, answer): the number of a numeric answer or the yes or no of a binary one. `steps` reads the final line, `words` number words, `direct` the text.
+
+    Compatibility forms are folded in the whole text, before a final line is looked for. text has to be a plain column: the folding is not JVM-side, and Spark cannot plan it over expressions with lambdas.
+    """
+
+    def read(line: Column) -> Column:
+        number = F.when(elicitation == "words", parse_words(line, fold=False)).otherwise(parse_number(line, fold=False))
+        return F.struct(F.when(~binary, number).alias("number"), F.when(binary, parse_yes_no(line, fold=False)).alias("answer"))
+
+    return let(folded(text), lambda t: let(F.when(elicitation == "steps", final_answer(t)).otherwise(t), read))
 
 
 def candidates(difference: Column, a: Column, b: Column, offset: int) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import rules, stats
 from tallyloom.operators import batches, compare, curves, frames, lookup, reports, rescue, sampling, scoring
-from tallyloom.plans.catalog import CARRY_SQL, EVENT_K, PAIRS_SQL, RADIUS, carry, events, pairs, query, table
-from tallyloom.plans.pools import HEX_SQL
+from tallyloom.plans.catalog import CARRY_SQL, EVENT_K, PAIRS_SQL, RADIUS, carry, events, known_pairs, pairs, query, table
+from tallyloom.plans.pools import HEX_SQL, pool_manifest, sweep_pool
 
 LINE_ANSWERS_SQL = f"""{PAIRS_SQL}, sets AS (SELECT 'first' AS pairs_hash, a, b FROM known UNION ALL SELECT 'second', b, a FROM pairs WHERE a BETWEEN 1 AND {RADIUS} AND b BETWEEN 1 AND {RADIUS} AND (a + 2 * b) % 5 < 2),
  ans AS (SELECT l_returnflag || l_suppkey % 3 AS run_id, l_returnflag AS condition, nullif(l_suppkey % 3, 0) AS seed, CASE WHEN l_suppkey % 3 = 1 THEN 'second' ELSE 'first' END AS pairs_hash, CASE WHEN l_returnflag = 'N' THEN 15 ELSE {RADIUS} END AS radius,
@@ -283,3 +283,23 @@ def batches_scored(spark, sf_dir):
     values = F.when(F.col("group") == "sum", F.create_map(own, F.col("v"), F.lit("x2"), F.col("v") + 100)).otherwise(F.create_map(own, F.col("v")))
     rows = rows.select("group", "category", F.array("a", "b").alias("operands"), values.alias("rule_values"), "parsed", "truth")
     return batches.batch_records(batches.with_batches(rows, CONTROLS, "p2", RADIUS), ["binary"])
+
+
+_FILLED_SQL = _fill_sql() + ", f AS (" + " UNION ALL ".join(f"SELECT a, b, cell FROM f_{c[0]}" for c in CELLS) + ")"
+
+
+@query(
+    f"""{_FILLED_SQL}, o AS (SELECT *, [0, 1, 2][1 + (row_number() OVER (PARTITION BY cell ORDER BY sha256('["deal",3,' || a || ',' || b || ']'), a, b) - 1) % 3] AS off, a <> b AND (b, a) IN (SELECT (a, b) FROM known) AS m, a <> b AND (b, a) IN (SELECT (a, b) FROM pairs WHERE (a + b) % 4 = 1) AS r FROM f),
+ k AS (SELECT cell, string_agg(off || ':' || n, ',' ORDER BY off) AS offsets FROM (SELECT cell, off, count(*) AS n FROM o GROUP BY ALL) GROUP BY 1)
+ SELECT cell, count(*) AS n, count(*) FILTER (m) AS mirrored, count(*) FILTER (r) AS reversed_in_counterpart, least(min(a), min(b)) AS least, greatest(max(a), max(b)) AS most, any_value(offsets) AS offsets FROM o JOIN k USING (cell) GROUP BY 1"""
+)
+def pool_recorded(spark, sf_dir):
+    other = pairs(spark, sf_dir).where((F.col("a") + F.col("b")) % 4 == 1)
+    return pool_manifest(filled(spark, sf_dir), known_pairs(spark, sf_dir), other, (0, 1, 2), rules.hash_text("deal", 3, F.col("a"), F.col("b")))
+
+
+@query(
+    f"""{PAIRS_SQL}, d AS (SELECT a, b, {CARRY_SQL} AS carry FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY carry ORDER BY sha256('["sweep",5,' || a || ',' || b || ']'), a, b) AS r FROM d) SELECT a, b, carry, unnest([-2, -1, 0, 1, 2])::INT AS "offset" FROM r WHERE r <= 20"""
+)
+def sweep_pool_items(spark, sf_dir):
+    return sweep_pool(carry(pairs(spark, sf_dir)), ["carry"], rules.hash_text("sweep", 5, F.col("a"), F.col("b")), ["a", "b"], 20, (-2, -1, 0, 1, 2))

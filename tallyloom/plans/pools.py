@@ -98,6 +98,34 @@ def mirror_record(cells: DataFrame, known: DataFrame, keys: Sequence[str]) -> Da
     return rules.with_membership(cells, known, "mirrored", mirrored=True).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("mirrored").alias("mirrored"))
 
 
+def pool_manifest(filled: DataFrame, known: DataFrame, counterpart: DataFrame, offsets: Sequence[int], digest: Column) -> DataFrame:
+    """What a filled pool's manifest says of each cell: n, mirrored (pairs whose mirror is among the training pairs), reversed_in_counterpart (whose mirror another pool asks), their operands' range, and how often
+    each threshold offset is dealt, as `offset:count` in order. filled(cell, a, b) are the picks; the offsets take turns in the order of the digest, cell by cell, a bounded pick each."""
+    rows = rules.with_membership(filled, known, "__m", mirrored=True)
+    rows = alternating(rules.with_membership(rows, counterpart, "__r", mirrored=True), ["cell"], digest, ["a", "b"], offsets)
+    dealt = F.array(*(F.struct(F.lit(int(o)).alias("o"), F.count_if(F.col("offset") == o).alias("n")) for o in sorted(set(offsets))))
+    shown = F.array_join(F.transform(F.filter(dealt, lambda d: d.n > 0), lambda d: F.concat_ws(":", d.o.cast("string"), d.n.cast("string"))), ",")
+    least, most = F.least(F.min("a"), F.min("b")), F.greatest(F.max("a"), F.max("b"))
+    return rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("__m").alias("mirrored"), F.count_if("__r").alias("reversed_in_counterpart"), least.alias("least"), most.alias("most"), shown.alias("offsets"))
+
+
+def sweep_pool(source: DataFrame, keys: Sequence[str], digest: Column, ties: Sequence[str], n: int, offsets: Sequence[int]) -> DataFrame:
+    """For each cell the n items of a source pool whose digests come first, at every threshold offset of the sweep: `offset` is added, items times offsets rows. A cell with fewer items is an error."""
+    top = sampling.hash_top(source.withColumn("__d", digest), keys, F.col("__d"), ties, n)
+    sizes = top.groupBy(*keys).agg(F.count("*").alias("__n"))
+    short = F.when(F.col("__n") < n, F.raise_error(F.lit(f"a cell has fewer than {n} items")).cast("boolean")).otherwise(F.lit(True))
+    chosen = top.join(sizes, list(keys)).where(short).drop("__n", "__d", "rank")
+    return chosen.withColumn("offset", F.explode(F.lit([int(o) for o in offsets])))
+
+
+def explicit_pool(entries: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Listed entries (keys, a, b) without those that have an excluded operand, and how many each key listed and lost. An entry that is listed twice is an error."""
+    counted = entries.groupBy(*keys, "a", "b").agg(F.count("*").alias("__n"))
+    once = F.when(F.col("__n") > 1, F.raise_error(F.concat_ws(" ", F.lit("listed twice:"), "a", "b")).cast("boolean")).otherwise(F.lit(True))
+    rows = counted.where(once).drop("__n")
+    return rows.where(~rules.excluded_operands(F.col("a"), F.col("b"))), dropped_by_operand(rows, keys)
+
+
 def training_set(candidates: DataFrame, held_out: DataFrame, size: int, total: int, seed: int, condition: str, offset: int) -> DataFrame:
     """Training rows: pairs without held-out sums, `size` of them by hash, repeated to `total` rows, as texts."""
     digest = rules.hash_text("draw", seed, F.col("a"), F.col("b"))
