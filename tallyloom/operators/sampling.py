@@ -160,10 +160,10 @@ def seeded_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], seed:
 
 
 def permuted_labels(df: DataFrame, within: Sequence[str], item: str, label: str, seed: int) -> DataFrame:
-    """Labels dealt anew to items inside each group; all rows of an item move together."""
+    """Labels dealt anew to items inside each group, in the order of SHA-256 of seed and item; all rows of an item move together. A group's items are ranked in one task."""
     items = df.groupBy(*within, item).agg(F.min(label).alias("__old"))
     order = W.partitionBy(*within).orderBy(item)
-    drawn = W.partitionBy(*within).orderBy(F.xxhash64(F.lit(seed), F.col(item)), item)
+    drawn = W.partitionBy(*within).orderBy(rules.hash_text("deal", seed, F.col(item)), item)
     sources = items.select(*within, F.row_number().over(order).alias("__k"), F.col("__old").alias("__label"))
     targets = items.select(*within, item, F.row_number().over(drawn).alias("__k"))
     dealt = targets.join(sources, [*within, "__k"]).select(*within, item, "__label")

@@ -496,9 +496,12 @@ def word_numbers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", parsing.parse_words("text").alias("value"), parsing.final_answer("text").alias("final"), parsing.parse_number(F.col("text")).alias("number"))
 
 
-@query()
+@query(
+    """WITH u AS (SELECT p_brand, p_partkey, min(p_type) AS old FROM part GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('["deal",3,' || p_partkey || ']'), p_partkey) AS d FROM u)
+ SELECT t.p_partkey, t.p_brand, s.old AS p_type FROM i t JOIN i s ON s.p_brand = t.p_brand AND s.k = t.d"""
+)
 def permuted_tasks(spark, sf_dir):
-    """Labels dealt anew to items; the order is a hash of Spark's own."""
+    """Labels dealt anew to items."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     return sampling.permuted_labels(rows, ["p_brand"], "p_partkey", "p_type", 3)
 
