@@ -507,4 +507,4 @@ def permuted_tasks(spark, sf_dir):
 
 
 # further queries register themselves
-from tallyloom.plans import decisions, designs, pools, reports, studies  # noqa: E402, F401
+from tallyloom.plans import decisions, designs, pools, profiles, reports, studies  # noqa: E402, F401
