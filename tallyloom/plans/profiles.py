@@ -61,9 +61,9 @@ def bias_over_symbols(spark, sf_dir):
     return profiles.content_free_bias(rows, ["event_type"], "symbol", ["0", "1", "2", "3"], "yes", "no").withColumn("bias", F.round("bias", 9))
 
 
-@query("SELECT DISTINCT p_brand, p_size % 3 AS level FROM part WHERE p_size > 45 AND p_retailprice > 1300")
+@query("SELECT DISTINCT p_brand, p_size % 3 AS level FROM part WHERE p_size > 45 AND p_retailprice > 950")
 def cells_confirmed(spark, sf_dir):
-    marks = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") % 3).alias("level"), ((F.col("p_size") > 45) & (F.col("p_retailprice") > 1300)).alias("fails"))
+    marks = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") % 3).alias("level"), ((F.col("p_size") > 45) & (F.col("p_retailprice") > 950)).alias("fails"))
     return profiles.confirmed_cells(marks, ["p_brand", "level"], "fails", marks.groupBy("p_brand", "level").agg(F.bool_or("fails").alias("any")).where("any"))
 
 
