@@ -40,16 +40,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, whole or not at all: written beside its place and then renamed to it."""
+    """A small file, whole or not at all: written beside its place and then renamed onto it in one step."""
     fs, p = _place(spark, path)
     _, beside = _place(spark, path + ".partial")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    if not fs.rename(beside, p):  # some file systems do not rename onto a file
-        fs.delete(p, False)
-        if not fs.rename(beside, p):
-            raise OSError(f"{path} could not be written")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.makeQualified(p).toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(p), how)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
