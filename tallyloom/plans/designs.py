@@ -17,9 +17,10 @@ LINE_ANSWERS_SQL = f"""{PAIRS_SQL}, sets AS (SELECT 'first' AS pairs_hash, a, b
  cls AS (SELECT *, CASE WHEN parsed IS NULL THEN 'parse_fail' WHEN parsed = truth THEN 'correct' WHEN parsed = truth + 2 THEN 'rule' ELSE 'other_error' END AS classification FROM ans),
  lab AS (SELECT run_id, condition, seed, item, task, 'plain' AS template, category, 'numeric' AS "group", CASE WHEN abs(c.a) > radius OR abs(c.b) > radius THEN CASE WHEN c.a > radius AND c.b > radius THEN 'extrap_magnitude' ELSE 'extrap_other' END
  WHEN c.a <= 0 OR c.b <= 0 THEN 'oob_algebraic' WHEN k.a IS NOT NULL THEN 'id' ELSE 'interp' END AS coverage, m.a IS NOT NULL AND c.a <> c.b AS "mirror_in_K", CASE WHEN c.a + c.b BETWEEN 2 AND 2 * radius THEN 'ans_in' ELSE 'ans_out' END AS answer_range,
- CASE WHEN EXISTS (SELECT 1 FROM sets s WHERE s.pairs_hash = c.pairs_hash AND s.a + s.b = c.a + c.b) THEN 't_seen' ELSE 't_unseen' END AS t_coverage, CASE WHEN c.a + c.b < 0 THEN 'negsum' WHEN (c.a + c.b) % 10 IN (8, 9) THEN 'carry' ELSE 'nocarry' END AS carry,
+ CASE WHEN q.t IS NOT NULL THEN 't_seen' ELSE 't_unseen' END AS t_coverage, CASE WHEN c.a + c.b < 0 THEN 'negsum' WHEN (c.a + c.b) % 10 IN (8, 9) THEN 'carry' ELSE 'nocarry' END AS carry,
  (classification = 'rule')::INT AS is_rule, (classification IN ('correct', 'rule'))::INT AS in_renorm_denom, classification, parsed, truth, 'p2' AS reference_rule
- FROM cls c LEFT JOIN sets k ON c.pairs_hash = k.pairs_hash AND c.a = k.a AND c.b = k.b LEFT JOIN sets m ON c.pairs_hash = m.pairs_hash AND c.a = m.b AND c.b = m.a),
+ FROM cls c LEFT JOIN sets k ON c.pairs_hash = k.pairs_hash AND c.a = k.a AND c.b = k.b LEFT JOIN sets m ON c.pairs_hash = m.pairs_hash AND c.a = m.b AND c.b = m.a
+ LEFT JOIN (SELECT DISTINCT pairs_hash, a + b AS t FROM sets) q ON c.pairs_hash = q.pairs_hash AND c.a + c.b = q.t),
  axis AS (SELECT *, task = 't1' AND coverage IN ('id', 'interp', 'extrap_magnitude') AND seed IS NOT NULL AS main_axis FROM lab)
  SELECT *, avg(is_rule) FILTER (coverage = 'id') OVER (PARTITION BY run_id) AS gate_id_rule_rate, count(*) FILTER (coverage = 'id') OVER (PARTITION BY run_id) AS gate_id_n FROM axis"""
 
