@@ -1,18 +1,19 @@
 """Exact comparisons of rates with a line, differences by operand pair over aligned levels, and the decisions that follow.
 
-Rates stay pairs of whole numbers: a sum of fractions is compared with a fraction by cross multiplication, so nothing is rounded at the line. Numerators and denominators are
-decimals of 38 digits; counts for which that is not enough are an error of the arithmetic.
+Rates stay pairs of whole numbers, so nothing is rounded at the line. A difference of two rates is a pair of decimals of 38 digits, which holds the products of any two counts; the mean of
+four of them is not bounded by that (about 100,000 answers a level have denominators of 40 digits) and is worked out in whole numbers of any size, on one row of four fractions for each key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import stats
-from tallyloom.functions.bind import let
 
 # The levels (polarity, theta) whose responses are compared with those `shift` below, and the names of stages and decisions.
 TERMS = (("gt", 0), ("gt", 1), ("lt", 1), ("lt", 2))
@@ -26,27 +27,17 @@ def fraction(top: Column, bottom: Column) -> Column:
     return F.struct(top.cast(WHOLE).alias("top"), bottom.cast(WHOLE).alias("bottom"))
 
 
-def gcd(a: Column, b: Column, steps: int = 190) -> Column:
-    """The greatest common divisor of two whole numbers that are not negative: Euclid's steps, as many as 38 digits can take."""
-    pair = lambda x, y: F.struct(x.cast(WHOLE).alias("x"), y.cast(WHOLE).alias("y"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), pair(a, b), lambda s, _: F.when(s.y == 0, s).otherwise(pair(s.y, s.x % s.y)), lambda s: s.x)
+def exact_mean(fractions: Column, line: tuple[int, int]) -> Column:
+    """struct(top, bottom, reaches_line) of the mean of an array of fractions: its digits in lowest terms, whole numbers of any size, and whether it is at the line or beyond. Null if one of them is."""
+    least = Fraction(*line)
 
+    @F.pandas_udf("top string, bottom string, reaches_line boolean")
+    def mean(rows: pd.Series) -> pd.DataFrame:
+        means = [None if any(x is None for x in row) else sum(map(Fraction, row)) / len(row) for row in rows]
+        out = [(None, None, None) if m is None else (str(m.numerator), str(m.denominator), m >= least) for m in means]
+        return pd.DataFrame(out, columns=["top", "bottom", "reaches_line"], dtype=object)
 
-def lowest(f: Column) -> Column:
-    """A fraction in lowest terms, with a denominator above zero."""
-    return let(f, lambda v: let(gcd(F.abs(v.top), v.bottom), lambda g: fraction((v.top - v.top % g) / g, (v.bottom - v.bottom % g) / g)))
-
-
-def add_fractions(fractions: Column) -> Column:
-    """The sum of an array of fractions in lowest terms; null if one of them is."""
-    both = lambda s, x: lowest(fraction(s.top * x.bottom + x.top * s.bottom, s.bottom * x.bottom))
-    total = F.aggregate(fractions, fraction(F.lit(0), F.lit(1)), both)
-    return F.when(F.forall(fractions, lambda x: x.isNotNull()), total)
-
-
-def reaches(f: Column, top: int, bottom: int) -> Column:
-    """Whether a fraction is at the line top / bottom or beyond."""
-    return f.top * bottom >= f.bottom * top
+    return mean(F.transform(fractions, lambda x: F.concat(x.top.cast("string"), F.lit("/"), x.bottom.cast("string"))))
 
 
 def level_counts(answers: DataFrame, keys: Sequence[str], shift: int) -> DataFrame:
@@ -55,17 +46,21 @@ def level_counts(answers: DataFrame, keys: Sequence[str], shift: int) -> DataFra
     at = lambda p, t: (F.col("polarity") == p) & (F.col("theta") == t)
     counts = [(F.count_if(at(p, t)), F.sum(F.when(at(p, t), hit)), F.count_if(at(p, t - shift)), F.sum(F.when(at(p, t - shift), hit))) for p, t in TERMS]
     rows = answers.groupBy(*keys).agg(F.array(*(F.struct(n.alias("n"), k.alias("k"), m.alias("m"), j.alias("j")) for n, k, m, j in counts)).alias("__c"))
-    term = lambda c: F.when((c.n > 0) & (c.m > 0), fraction(c.k * c.m - c.j * c.n, c.n * c.m))
+    times = lambda x, y: x.cast(WHOLE) * y.cast(WHOLE)
+    term = lambda c: F.when((c.n > 0) & (c.m > 0), fraction(times(c.k, c.m) - times(c.j, c.n), times(c.n, c.m)))
     return rows.select(*keys, F.transform("__c", term).alias("terms"))
 
 
 def shift_gains(answers: DataFrame, keys: Sequence[str], shift: int, line: tuple[int, int]) -> DataFrame:
-    """For each key: top and bottom of the mean of the four differences in lowest terms, estimate as a number, and reaches_line; null where one of the levels has no answer."""
-    total = level_counts(answers, keys, shift).withColumn("__sum", add_fractions(F.col("terms")))
-    mean = F.when(F.col("__sum").isNotNull(), lowest(fraction(F.col("__sum.top"), F.col("__sum.bottom") * len(TERMS))))
-    rows = total.withColumn("__mean", mean)
-    number = F.col("__mean.top").cast("double") / F.col("__mean.bottom").cast("double")
-    return rows.select(*keys, F.col("__mean.top").alias("top"), F.col("__mean.bottom").alias("bottom"), number.alias("estimate"), reaches(F.col("__mean"), *line).alias("reaches_line"))
+    """For each key: top and bottom of the mean of the four differences in lowest terms, estimate as a number, reaches_line, and top_digits and bottom_digits; null where one of the levels has no answer.
+
+    Digits are text and take any size. A top or bottom of more than 38 digits, which some hundred thousand answers a level can give, is an error where that column is read, and only there.
+    """
+    rows = level_counts(answers, keys, shift).withColumn("__mean", exact_mean(F.col("terms"), line))
+    top, bottom = F.col("__mean.top"), F.col("__mean.bottom")
+    whole = lambda digits: F.when(F.length(F.ltrim(F.lit("-"), digits)) > 38, F.raise_error(F.lit("more than 38 digits: read top_digits and bottom_digits")).cast(WHOLE)).otherwise(digits.cast(WHOLE))
+    number = top.cast("double") / bottom.cast("double")
+    return rows.select(*keys, whole(top).alias("top"), whole(bottom).alias("bottom"), number.alias("estimate"), F.col("__mean.reaches_line").alias("reaches_line"), top.alias("top_digits"), bottom.alias("bottom_digits"))
 
 
 def pair_differences(answers: DataFrame, keys: Sequence[str], shift: int) -> DataFrame:

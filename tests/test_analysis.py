@@ -100,6 +100,23 @@ def test_gains_are_exact(spark):
     assert (gap.top, gap.estimate, gap.reaches_line) == (None, None, None)
 
 
+def test_gains_of_many_answers_are_exact(spark):
+    """Levels of some 100,000 answers each, all primes: the mean's denominator has more than 38 digits."""
+    primes = (100_003, 100_019, 100_043, 100_049, 100_057, 100_069, 100_103, 100_109)
+    counts = {level: (n, 31_013 + n % 1_009) for n, level in zip(primes, sorted({(p, t - lag) for p, t in thresholds.TERMS for lag in (0, 2)}))}
+    rows = [("k", p, t, said, n) for (p, t), (n, k) in counts.items() for said, n in ((p == "lt", k), (p != "lt", n - k))]
+    many = spark.createDataFrame(rows, "k string, polarity string, theta int, answer boolean, n int").select("k", "polarity", "theta", "answer", F.explode(F.sequence(F.lit(1), "n")))
+    rate = {level: Fraction(k, n) for level, (n, k) in counts.items()}
+    want = sum(rate[p, t] - rate[p, t - 2] for p, t in thresholds.TERMS) / 4
+    assert want.denominator > 10**38
+    gains = {at: thresholds.shift_gains(many, ["k"], 2, line).drop("top", "bottom") for at, line in {"at": (want.numerator, want.denominator), "above": (want.numerator + 1, want.denominator)}.items()}
+    got = {at: df.first() for at, df in gains.items()}
+    assert (got["at"].top_digits, got["at"].bottom_digits) == (str(want.numerator), str(want.denominator)) and abs(got["at"].estimate - float(want)) < 1e-12
+    assert got["at"].reaches_line and not got["above"].reaches_line
+    with pytest.raises(Exception, match="more than 38 digits"):
+        thresholds.shift_gains(many, ["k"], 2, (1, 4)).collect()
+
+
 def test_gains_by_pair(spark):
     rows = some_answers(4, "p", 9)
     df = spark.createDataFrame(rows, ANSWERS)
