@@ -117,6 +117,16 @@ def test_gains_of_many_answers_are_exact(spark):
         thresholds.shift_gains(many, ["k"], 2, (1, 4)).collect()
 
 
+def test_arms_of_many_answers_reach_the_line(spark):
+    """An arm just below a line of 1 in 10 does not reach it, one with an answer more a level does, where levels have some 100,000 answers and no common divisors."""
+    primes = dict(zip([(p, t - lag) for lag in (0, 2) for p, t in thresholds.TERMS], (100_003, 100_019, 100_043, 100_049, 100_057, 100_069, 100_103, 100_109)))
+    hits = lambda arm, level: primes[level] // 5 + arm if level in thresholds.TERMS else primes[level] // 10 + 1 - arm
+    rows = [(arm, p, t, said, n) for arm in (0, 1) for (p, t), m in primes.items() for said, n in ((p == "lt", hits(arm, (p, t))), (p != "lt", m - hits(arm, (p, t)))) if n]
+    many = spark.createDataFrame(rows, "arm int, polarity string, theta int, answer boolean, n int").select("arm", F.lit("id").alias("coverage"), "polarity", "theta", "answer", F.explode(F.sequence(F.lit(1), "n")))
+    arms = thresholds.arm_reaches(thresholds.shift_gains(many, ["arm", "coverage"], 2, (1, 10)), ["arm"], "coverage", ["id"])
+    assert {r.arm: r.reaches for r in arms.collect()} == {0: False, 1: True}
+
+
 def test_gains_by_pair(spark):
     rows = some_answers(4, "p", 9)
     df = spark.createDataFrame(rows, ANSWERS)
