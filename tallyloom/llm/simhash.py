@@ -50,6 +50,14 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint, unsigned, of shingles whose hashes are at hand, repeats included; 0 for none."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        total += np.unpackbits(hashes[k : k + BLOCK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) with fp as a signed long, one row for each row of docs."""
 

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tallyloom.llm import langid, secrets, simwide
+from tallyloom.llm import langid, secrets, simhash, simwide
 
 
 def edited(rng, words, times):
@@ -39,6 +39,23 @@ def test_near_copies_match_brute_force(spark, monkeypatch, crowded):
     assert simwide.similar_components(df.limit(0)).count() == 0
 
 
+def test_near_copies_come_by_simhash_and_are_verified(spark, monkeypatch):
+    """Without any band the SimHash operator's links are what is left; texts of one fingerprint that are not similar stay apart."""
+    monkeypatch.setattr(simwide, "band_keys", lambda hashes: [])
+    rng, rows = random.Random(3), []
+    for k in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "other"]))]
+    near = [k for k in range(20) if (simhash.fingerprint(rows[2 * k][1], 5) ^ simhash.fingerprint(rows[2 * k + 1][1], 5)).bit_count() <= 4]
+    assert len(near) > 10
+    like = ["again " * 200 + " ".join(f"{c}{i}" for i in range(20)) for c in "ab"]
+    assert simhash.fingerprint(like[0], 5) == simhash.fingerprint(like[1], 5)
+    rows += [(100 + i, t) for i, t in enumerate(like)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = {i for i, _ in rows} - {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert gone == {2 * k + 1 for k in near}
+
+
 def test_rows_of_one_id_stay_or_go_together(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(200)]
