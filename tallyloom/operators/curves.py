@@ -91,20 +91,32 @@ def solve_level(target: Column, variance: Column, nodes: int, low: float = -40.0
 
     An error: a target that is not between 0 and 1, or a bracket at whose ends the rate is on the same side of the target. Null where target or variance is.
     """
-    rate = lambda eta, v: marginal_rate(eta, v.variance, nodes) - v.target
-    between = lambda a, b: F.struct(a.cast("double").alias("low"), b.cast("double").alias("high"))
+    x, w = np.polynomial.hermite.hermgauss(nodes)
+    w = w / math.sqrt(math.pi)
 
-    def halve(v: Column):
-        def step(s: Column, _: Column) -> Column:
-            return let((s.low + s.high) / 2, lambda mid: F.when(rate(mid, v) < 0, between(mid, s.high)).otherwise(between(s.low, mid)))
+    def rate(eta: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(spread))
+        for at, weight in zip(x, w):
+            total += weight / (1 + np.exp(-(eta + spread * at)))
+        return total
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), between(F.lit(low), F.lit(high)), step, lambda s: (s.low + s.high) / 2)
+    @F.pandas_udf("double")
+    def solved(targets: pd.Series, variances: pd.Series) -> pd.Series:
+        with np.errstate(all="ignore"):
+            target, spread = targets.to_numpy("float64"), np.sqrt(2 * variances.to_numpy("float64"))
+            a, b = np.full(len(target), float(low)), np.full(len(target), float(high))
+            apart = (rate(a, spread) < target) & (rate(b, spread) > target)
+            for _ in range(steps):
+                mid = (a + b) / 2
+                below = rate(mid, spread) < target
+                a, b = np.where(below, mid, a), np.where(below, b, mid)
+            return pd.Series(np.where(apart, (a + b) / 2, np.nan))
 
     fail = lambda text: F.raise_error(F.lit(text)).cast("double")
-    outside = lambda v: (v.target <= 0) | (v.target >= 1)
-    apart = lambda v: (rate(F.lit(low), v) < 0) & (rate(F.lit(high), v) > 0)
-    solved = lambda v: F.when(v.target.isNull() | v.variance.isNull(), F.lit(None).cast("double")).when(outside(v), fail("a rate must be between 0 and 1")).when(apart(v), halve(v)).otherwise(fail("no eta in the bracket has the rate"))
-    return let(F.struct(target.cast("double").alias("target"), variance.cast("double").alias("variance")), solved)
+    target, variance = target.cast("double"), variance.cast("double")
+    found = F.coalesce(F.nanvl(solved(target, variance), F.lit(None).cast("double")), fail("no eta in the bracket has the rate"))
+    outside = (target <= 0) | (target >= 1)
+    return F.when(target.isNull() | variance.isNull(), F.lit(None).cast("double")).when(outside, fail("a rate must be between 0 and 1")).when(variance < 0, fail("a variance is below zero")).otherwise(found)
 
 
 def solve_null_cells(cells: DataFrame, keys: Sequence[str], task: str, coverage: str, ceiling, reference, eta: str, variance: str, nodes: int) -> DataFrame:

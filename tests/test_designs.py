@@ -155,6 +155,17 @@ def test_levels_reach_their_rate(spark):
         spark.range(1).select(curves.solve_level(F.lit(0.99), F.lit(1.0), 8, low=-1.0, high=1.0)).collect()
 
 
+def test_levels_are_solved_in_batches(spark):
+    """Rows are halved side by side, not each in an expression of its own; a variance below zero stays an error."""
+    rows = spark.range(1, 20_000).select((F.col("id") / 20_000).alias("t"), (F.col("id") % 5 / 2.0).alias("v"))
+    solved = rows.withColumn("eta", curves.solve_level(F.col("t"), F.col("v"), 8))
+    assert "aggregate(" not in solved._jdf.queryExecution().optimizedPlan().toString()
+    back = solved.select("t", curves.marginal_rate(F.col("eta"), F.col("v"), 8).alias("back"))
+    assert back.where("abs(back - t) < 1e-9").count() == 19_999
+    with pytest.raises(Exception, match="variance is below zero"):
+        spark.range(1).select(curves.solve_level(F.lit(0.5), F.lit(-1.0), 8)).collect()
+
+
 def test_cells_without_interaction_on_the_scale_of_probability(spark):
     rows = [(t, c, e, 1.5) for t, es in {"top": (3.0, 2.0, 1.0), "x": (0.5, 9.9, 9.9), "y": (-1.0, 9.9, 9.9)}.items() for c, e in zip("abc", es)]
     out = curves.solve_null_cells(spark.createDataFrame(rows, "task string, coverage string, eta double, v double"), [], "task", "coverage", "top", "a", "eta", "v", 16)
