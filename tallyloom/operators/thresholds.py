@@ -44,7 +44,7 @@ def level_counts(answers: DataFrame, keys: Sequence[str], shift: int) -> DataFra
     """One row for each key: an array `terms` of the differences of TERMS as fractions, null where a level or the one `shift` below has no answer; from answers(polarity, theta, answer)."""
     hit = stats.aligned(F.col("polarity"), F.col("answer"))
     at = lambda p, t: (F.col("polarity") == p) & (F.col("theta") == t)
-    counts = [(F.count_if(at(p, t)), F.sum(F.when(at(p, t), hit)), F.count_if(at(p, t - shift)), F.sum(F.when(at(p, t - shift), hit))) for p, t in TERMS]
+    counts = [(F.count_if(at(p, t)), F.count_if(at(p, t) & (hit == 1)), F.count_if(at(p, t - shift)), F.count_if(at(p, t - shift) & (hit == 1))) for p, t in TERMS]
     rows = answers.groupBy(*keys).agg(F.array(*(F.struct(n.alias("n"), k.alias("k"), m.alias("m"), j.alias("j")) for n, k, m, j in counts)).alias("__c"))
     times = lambda x, y: x.cast(WHOLE) * y.cast(WHOLE)
     term = lambda c: F.when((c.n > 0) & (c.m > 0), fraction(times(c.k, c.m) - times(c.j, c.n), times(c.n, c.m)))
@@ -92,11 +92,15 @@ def gain_intervals(answers: DataFrame, keys: Sequence[str], shift: int, n_per_le
     return out.withColumn("n", F.when(F.col("n") == n_per_level, F.col("n")).otherwise(F.raise_error(F.lit(f"not {n_per_level} pairs")).cast("long")))
 
 
-def arm_reaches(cells: DataFrame, keys: Sequence[str], coverage: str, levels: Sequence[str]) -> DataFrame:
-    """(keys, reaches): whether the cells of all levels reach the line. An arm that lacks a level, or whose gain is null, is an error."""
-    seen = F.count_distinct(F.when(F.col(coverage).isin(*levels) & F.col("reaches_line").isNotNull(), F.col(coverage)))
-    every = F.every(F.when(F.col(coverage).isin(*levels), F.col("reaches_line")))
-    return cells.groupBy(*keys).agg(F.when(seen == len(levels), every).otherwise(F.raise_error(F.lit("an arm lacks a level")).cast("boolean")).alias("reaches"))
+def arm_reaches(cells: DataFrame, keys: Sequence[str], coverage: str, levels: Sequence[str] | None) -> DataFrame:
+    """(keys, reaches): whether the cells of all levels reach the line; None: of the levels that the arm has. An arm that lacks a level, or whose gain is null, is an error."""
+    wanted = F.lit(True) if levels is None else F.col(coverage).isin(*levels)
+    if levels is None:
+        whole = F.count_if(F.col("reaches_line").isNull()) == 0
+    else:
+        whole = F.count_distinct(F.when(wanted & F.col("reaches_line").isNotNull(), F.col(coverage))) == len(levels)
+    every = F.every(F.when(wanted, F.col("reaches_line")))
+    return cells.groupBy(*keys).agg(F.when(whole, every).otherwise(F.raise_error(F.lit("an arm lacks a level")).cast("boolean")).alias("reaches"))
 
 
 def next_stage(explicit: Column, summed: Column) -> Column:
